@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What separates two tokens, and what separates two words.
+# What a token is, what separates two tokens, what separates two words.
+WORD = r"[\p{L}\p{N}_]+"
 NON_WORD = r"[^\p{L}\p{N}_]+"
 NON_WORD_CHAR = r"[^\p{L}\p{N}_]"
 SPACES = r"\s+"
@@ -30,8 +31,7 @@ def let(value: Column, body) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Lower-cased runs of letters, digits and underscores, in text order."""
-    parts = F.split(F.lower(_col(text)), NON_WORD)
-    return F.filter(parts, lambda t: t != "")
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), F.lit(0))
 
 
 def tokens_with_compounds(text: Column | str) -> Column:
@@ -39,11 +39,10 @@ def tokens_with_compounds(text: Column | str) -> Column:
 
     def expand(word: Column) -> Column:
         bare = F.regexp_replace(word, rf"^{NON_WORD}|{NON_WORD}$", "")
-        parts = F.split(bare, NON_WORD)
-        return F.when(F.size(parts) > 1, F.concat(F.array(bare), parts)).otherwise(parts)
+        whole = F.when(F.size(tokens(word)) > 1, F.array(bare)).otherwise(F.array().cast("array<string>"))
+        return F.concat(whole, tokens(word))
 
-    words = F.split(F.lower(_col(text)), SPACES)
-    return F.filter(F.flatten(F.transform(words, expand)), lambda t: t != "")
+    return F.flatten(F.transform(F.split(F.lower(_col(text)), SPACES), expand))
 
 
 def display_terms(query: Column | str) -> Column:

@@ -35,6 +35,15 @@ def with_documents(results: DataFrame, docs: DataFrame, batch: QueryBatch,
     return texts.join(batch.per_query(results, rows_per_query, bytes_per_row=256), "doc_id")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows with text out evenly before their text is analyzed.
+
+    A document that is a result of very many queries would otherwise be
+    analyzed for all of them in the one task that read it.
+    """
+    return rows.repartition("query_id", "doc_id")
+
+
 def with_query_terms(results: DataFrame, batch: QueryBatch) -> DataFrame:
     """Add ``query`` and ``terms``, the display terms of the query."""
     side = batch.queries.select("query_id", "query", tx.display_terms("query").alias("terms"))

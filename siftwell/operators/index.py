@@ -20,13 +20,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell import runtime
 from siftwell.functions import scoring as sc
 from siftwell.operators.analyze import Analyzer, entries_in_row, with_terms
 from siftwell.operators.batch import QueryBatch
 
-# Fixed value: upper limit of output shards, to keep the one exchange of the
-# build and the number of files manageable.
-MAX_SHARDS = 32768
 # Fixed value: a term is hot when it holds more than this fraction of all
 # postings; there can be at most its inverse of such terms.
 HOT_FRACTION = 1e-4
@@ -53,13 +51,6 @@ def term_bucket(n: int):
     return F.pmod(F.xxhash64("term"), F.lit(n)).cast("int")
 
 
-def default_shards(docs: DataFrame) -> int:
-    """One shard per input split, at least one per core and at most MAX_SHARDS."""
-    splits = docs.rdd.getNumPartitions()
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return max(cores, min(splits, MAX_SHARDS))
-
-
 def define_index(docs: DataFrame, analyzer: Analyzer = Analyzer(), text_column: str = "full_text",
                  id_column: str = "id", term_buckets: int = 16) -> LexicalIndex:
     """The index of ``docs`` as lazy tables over the analyzed corpus."""
@@ -96,17 +87,17 @@ def save_index(docs: DataFrame, path: str, name: str, analyzer: Analyzer = Analy
                term_buckets: int = 16, shards: int | None = None) -> LexicalIndex:
     """Build and write the index below ``path``; ``name`` is its catalog name.
 
-    Only one exchange happens, on the raw rows by document id: after it every
-    task tokenizes its documents, sorts its own postings and writes one file
-    per term bucket.  The statistics then come from narrow column scans of the
+    At most one exchange happens, on the raw rows by document id, and none when
+    ``docs`` is already bucketed so.  After it every task tokenizes its
+    documents, sorts its own postings and writes one file per term bucket.  The statistics then come from narrow column scans of the
     written postings.
     """
     spark = docs.sparkSession
-    shards = shards or default_shards(docs)
+    shards = shards or runtime.default_shards(docs)
     carried = [id_column, text_column] + ([analyzer.lang_column] if analyzer.lang_column else [])
     spread = docs.select(*carried).repartition(shards, id_column)
     lazy = define_index(spread, analyzer, text_column, id_column, term_buckets)
-    _drop_table(spark, name)
+    runtime.forget_table(spark, name)
     (
         lazy.postings.write.mode("overwrite").format("parquet")
         .partitionBy("term_bucket").bucketBy(shards, "doc_id").sortBy("term")
@@ -132,7 +123,7 @@ def load_index(spark: SparkSession, path: str, name: str, shards: int,
 
     ``shards``, ``term_buckets`` and ``analyzer`` must be those it was built with.
     """
-    _drop_table(spark, name)
+    runtime.forget_table(spark, name)
     spark.sql(
         f"CREATE TABLE `{name}` (term STRING, doc_id BIGINT, tf BIGINT, doc_len BIGINT, "
         f"positions ARRAY<INT>, term_bucket INT) USING parquet "
@@ -148,11 +139,6 @@ def load_index(spark: SparkSession, path: str, name: str, shards: int,
     )
 
 
-def _drop_table(spark: SparkSession, name: str) -> None:
-    # The tables are external: dropping one forgets the name and keeps the files.
-    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-
-
 def doc_lengths(docs: DataFrame, analyzer: Analyzer = Analyzer(),
                 text_column: str = "full_text", id_column: str = "id") -> DataFrame:
     """``doc_id, doc_len`` for every document, including those without any term."""

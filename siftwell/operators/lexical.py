@@ -27,7 +27,9 @@ def match_scores(index: LexicalIndex, batch: QueryBatch, k1: float = sc.K1, b: f
     )
     hits = join_postings(index, terms, batch)
     if within is not None:
-        hits = hits.join(within.select("doc_id"), "doc_id", "left_semi")
+        # An inner join, because a semi-join would be moved below the term join
+        # and test every posting instead of the few that matched a term.
+        hits = hits.join(within.select("doc_id").distinct(), "doc_id")
     part = sc.bm25_term(F.col("idf"), F.col("tf"), F.col("doc_len"), index.avg_len(), k1, b)
     return hits.groupBy("query_id", "doc_id").agg(
         F.count(F.lit(1)).alias("n_matched"),
@@ -58,6 +60,27 @@ def bm25_topk(scores: DataFrame, k: int = 10) -> DataFrame:
     return topk.top_k(found, k, "score")
 
 
+def ranked_lists(scores: DataFrame, k: int = 10) -> DataFrame:
+    """The boolean and the BM25 list in one pass over the matches.
+
+    ``method, query_id, doc_id, score, rank``: a match is ranked by BM25, and by
+    term frequency as well where it holds every term.
+    """
+    bm25 = F.struct(F.lit("bm25").alias("method"), F.col("score").alias("s"))
+    boolean = F.when(
+        F.col("n_matched") == F.col("n_terms"),
+        F.struct(F.lit("boolean").alias("method"), F.col("tf_rank").cast("double").alias("s")),
+    )
+    both = scores.filter(F.col("score") > 0).select(
+        "query_id", "doc_id", F.explode(F.array(bm25, boolean)).alias("e")
+    ).filter(F.col("e").isNotNull())
+    rows = both.select(
+        F.struct("query_id", "e.method").alias("_list"), "doc_id", F.col("e.s").alias("score")
+    )
+    best = topk.top_k(rows, k, "score", by="_list")
+    return best.select("_list.method", "_list.query_id", "doc_id", "score", "rank")
+
+
 def bm25_topk_above(scores: DataFrame, batch: QueryBatch, k: int = 10) -> DataFrame:
     """BM25 with the query's own threshold: strictly above, where one is set.
 

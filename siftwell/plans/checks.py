@@ -47,27 +47,35 @@ def corpus_checks(docs: DataFrame, phrase: str, needle: str, spam: Column,
     return row.select(F.inline(facts))
 
 
-def spam_ratio(scores: DataFrame, spam_ids: DataFrame) -> DataFrame:
-    """Per query: best spam score over best other score, by term frequency and by BM25.
+def ranking_facts(scores: DataFrame, spam_ids: DataFrame) -> DataFrame:
+    """Per query, in one pass over the full match table: match counts and spam ratios.
 
-    ``scores`` is the full match table. NULL where a query has no match on one side.
+    The ratios compare the best spam score with the best other score, by term
+    frequency and by BM25; NULL where a query has no match on one side.
     """
     spam = spam_ids.select("doc_id").distinct().withColumn("is_spam", F.lit(True))
     marked = scores.join(spam, "doc_id", "left")
     is_spam = F.col("is_spam").isNotNull()
     best = lambda value, flag: F.max(F.when(flag, F.col(value)))
     grouped = marked.groupBy("query_id").agg(
+        F.count_if(F.col("n_matched") == F.col("n_terms")).alias("and_matches"),
+        F.count_if(F.col("score") > 0).alias("bm25_matches"),
         best("tf_rank", is_spam).cast("double").alias("tf_spam"),
         best("tf_rank", ~is_spam).cast("double").alias("tf_other"),
         best("score", is_spam).alias("bm25_spam"),
         best("score", ~is_spam).alias("bm25_other"),
     )
     return grouped.select(
-        "query_id", (F.col("tf_spam") / F.col("tf_other")).alias("tf_ratio"),
+        "query_id", "and_matches", "bm25_matches",
+        (F.col("tf_spam") / F.col("tf_other")).alias("tf_ratio"),
         (F.col("bm25_spam") / F.col("bm25_other")).alias("bm25_ratio"),
     )
 
 
+def spam_ratio(scores: DataFrame, spam_ids: DataFrame) -> DataFrame:
+    return ranking_facts(scores, spam_ids).select("query_id", "tf_ratio", "bm25_ratio")
+
+
 def saturation_check(ratios: DataFrame) -> DataFrame:
     """Where spam leads by term frequency, it leads by less with BM25."""
     leads = ratios.filter((F.col("tf_ratio") > 1) & F.col("bm25_ratio").isNotNull())

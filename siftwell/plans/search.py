@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell import runtime
 from siftwell.operators import compare, dense, explain, fusion, lexical
 from siftwell.operators.batch import QueryBatch
 from siftwell.operators.index import LexicalIndex
@@ -32,12 +33,19 @@ def hybrid_topk(index: LexicalIndex, vectors: DataFrame, batch: QueryBatch,
 
 def all_methods(index: LexicalIndex, vectors: DataFrame, batch: QueryBatch,
                 k: int = 10) -> dict[str, DataFrame]:
-    """Result lists of the four methods; scores of lexical methods come from one join."""
-    scores = lexical.match_scores(index, batch)
-    bm25 = lexical.bm25_topk(scores, k)
-    vector = dense.vector_topk(vectors, batch, k)
+    """Result lists of the four methods.
+
+    The lexical lists come from one pass over the postings and are written,
+    like the vector list, because fusion reads them again; they hold at most
+    ``k`` rows per query and method.
+    """
+    lists = runtime.write_scratch(
+        lexical.ranked_lists(lexical.match_scores(index, batch), k), "lexical-lists"
+    )
+    vector = runtime.write_scratch(dense.vector_topk(vectors, batch, k), "vector-list")
+    bm25 = lists.filter(F.col("method") == "bm25")
     return {
-        "boolean": lexical.boolean_topk(scores, k),
+        "boolean": lists.filter(F.col("method") == "boolean"),
         "bm25": bm25,
         "vector": vector.withColumn("score", F.col("similarity")),
         "hybrid": fusion.rrf_topk(vector, bm25, batch, k),
@@ -52,25 +60,35 @@ def side_by_side(index: LexicalIndex, vectors: DataFrame, batch: QueryBatch, k:
 # to the short list first; the hybrid one matches terms in the preview only.
 
 
+def _with_text(results: DataFrame, docs: DataFrame, batch: QueryBatch, k: int) -> DataFrame:
+    texts = explain.spread(explain.with_documents(results, docs, batch, k))
+    return explain.with_query_terms(texts, batch)
+
+
+def matched_in_full_text(results: DataFrame, docs: DataFrame, batch: QueryBatch, k: int = 10) -> DataFrame:
+    return explain.match_terms(_with_text(results, docs, batch, k), F.col("full_text"))
+
+
 def explained_boolean(results: DataFrame, docs: DataFrame, batch: QueryBatch, k: int = 10) -> DataFrame:
-    rows = explain.with_query_terms(explain.with_documents(results, docs, batch, k), batch)
-    return explain.explain_boolean(explain.match_terms(rows, F.col("full_text")))
+    return explain.explain_boolean(matched_in_full_text(results, docs, batch, k))
 
 
 def explained_bm25(results: DataFrame, docs: DataFrame, stats: DataFrame, batch: QueryBatch,
                    k: int = 10, avg_length: float = 45.0) -> DataFrame:
-    rows = explain.with_query_terms(explain.with_documents(results, docs, batch, k), batch)
-    matched = explain.match_terms(rows, F.col("full_text"))
+    matched = matched_in_full_text(results, docs, batch, k)
     return explain.explain_bm25(explain.contributions(matched, stats, batch), avg_length)
 
 
 def explained_vector(results: DataFrame, docs: DataFrame, batch: QueryBatch, k: int = 10) -> DataFrame:
-    rows = explain.with_query_terms(explain.with_documents(results, docs, batch, k), batch)
-    return explain.explain_vector(explain.match_terms(rows, F.col("full_text")))
+    return explain.explain_vector(matched_in_full_text(results, docs, batch, k))
 
 
 def explained_hybrid(results: DataFrame, docs: DataFrame, batch: QueryBatch, k: int = 10) -> DataFrame:
-    rows = explain.with_query_terms(explain.with_documents(results, docs, batch, k), batch)
-    cut = rows.withColumn("content", tx.preview("content"))
+    cut = _with_text(results, docs, batch, k).withColumn("content", tx.preview("content"))
     shown = tx.full_text("title", "content")
     return explain.explain_hybrid(explain.match_terms(cut, shown))
+
+
+def with_headlines(results: DataFrame, docs: DataFrame, batch: QueryBatch, k: int = 10) -> DataFrame:
+    texts = explain.spread(explain.with_documents(results, docs, batch, k))
+    return explain.headline(texts, batch)

@@ -50,6 +50,23 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Fixed value: upper limit of shards of a written table, to keep the exchange
+# that fills them and the number of files manageable.
+MAX_SHARDS = 32768
+
+
+def default_shards(df: DataFrame) -> int:
+    """One shard per input split, at least one per core and at most MAX_SHARDS."""
+    splits = df.rdd.getNumPartitions()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(cores, min(splits, MAX_SHARDS))
+
+
+def forget_table(spark: SparkSession, name: str) -> None:
+    """Drop the name of an external table; its files stay."""
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the tasks, once per application.
 

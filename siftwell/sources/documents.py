@@ -126,16 +126,20 @@ def inline_documents(spark: SparkSession, rows: list[tuple[int, str, str, str |
     ).select(*schema.DOCUMENTS.fieldNames())
 
 
-def write_documents(docs: DataFrame, path: str, cluster: bool = False) -> DataFrame:
-    """Replace the documents table and read it back.
+def write_documents(docs: DataFrame, path: str, name: str, shards: int) -> DataFrame:
+    """Replace the documents table, bucketed by id, and open it.
 
-    ``cluster`` costs one more shuffle and orders the table by id, so that
-    lookups of an id range can skip row groups.
+    Postings are bucketed by the same key into the same number of shards, so
+    building an index and joining it to documents need no shuffle of the text.
+    ``name`` is the catalog name; the table itself lies at ``path``.
     """
-    if cluster:
-        docs = docs.repartitionByRange("id").sortWithinPartitions("id")
-    docs.write.mode("overwrite").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    spark = docs.sparkSession
+    runtime.forget_table(spark, name)
+    (
+        docs.repartition(shards, "id").write.mode("overwrite").format("parquet")
+        .bucketBy(shards, "id").sortBy("id").option("path", path).saveAsTable(name)
+    )
+    return spark.table(name)
 
 
 def write_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell import runtime
 from siftwell.functions import scoring as sc
 from siftwell.functions import text as tx
 from siftwell.operators import compare, context, dense, embed, explain, fusion, lexical, topk
@@ -76,7 +77,7 @@ def _as_files(c: Corpus) -> DataFrame:
     German rows lack the opening marker, Spanish rows the title, French rows
     have a repeated key, rows without a label have no category.
     """
-    docs = c.plain_documents().join(
+    docs = c.documents().join(
         c.table("labels").select(F.col("doc_id").alias("id"), "quality"), "id", "left"
     )
     opening = F.when(F.col("lang") == "de", "").otherwise("---\n")
@@ -443,26 +444,20 @@ def length_factor(c: Corpus) -> DataFrame:
 
 @query
 def snippet(c: Corpus) -> DataFrame:
-    rows = explain.with_query_terms(
-        explain.with_documents(_bm25(c), c.documents(), c.keyword_queries(), K), c.keyword_queries()
-    )
-    matched = explain.match_terms(rows, F.col("full_text"))
+    matched = search.matched_in_full_text(_bm25(c), c.documents(), c.keyword_queries(), K)
     return matched.select("query_id", "doc_id", tx.snippet("content", "matched_terms").alias("snippet"))
 
 
 @query
 def shown_terms(c: Corpus) -> DataFrame:
-    rows = explain.with_query_terms(
-        explain.with_documents(_bm25(c), c.documents(), c.keyword_queries(), K), c.keyword_queries()
-    )
-    few = explain.first_terms(explain.match_terms(rows, F.col("full_text")))
+    few = explain.first_terms(search.matched_in_full_text(_bm25(c), c.documents(), c.keyword_queries(), K))
     return few.select("query_id", "doc_id", listed("shown_matched"), listed("shown_missing"))
 
 
 @query
 def headline(c: Corpus) -> DataFrame:
-    rows = explain.with_documents(_bm25(c), c.documents(), c.keyword_queries(), K)
-    return explain.headline(rows, c.keyword_queries()).select("query_id", "doc_id", "headline")
+    rows = search.with_headlines(_bm25(c), c.documents(), c.keyword_queries(), K)
+    return rows.select("query_id", "doc_id", "headline")
 
 
 # -- comparison --------------------------------------------------------------
@@ -553,15 +548,16 @@ def validation_checks(c: Corpus) -> DataFrame:
     docs = c.documents().join(
         c.spam_ids().select(F.col("doc_id").alias("id"), F.lit(True).alias("is_spam")), "id", "left"
     )
-    batch = c.keyword_queries()
     scores = _scores(c)
-    best = lexical.bm25_topk(scores, K)
+    # Both are short and read by two checks each.
+    best = runtime.write_scratch(lexical.bm25_topk(scores, K), "bm25-list")
+    facts = runtime.write_scratch(checks.ranking_facts(scores, c.spam_ids()), "ranking-facts")
     return checks.union_checks([
         checks.corpus_checks(docs, tb.PHRASE, tb.NEEDLE, F.col("is_spam"), 10, 20, 5),
         checks.rare_term_check(best, _rarest_term_holders(c)),
-        checks.saturation_check(checks.spam_ratio(scores, c.spam_ids())),
+        checks.saturation_check(facts),
         checks.short_document_check(best, c.documents(), 50),
-        checks.more_matches_check(lexical.match_counts(scores, batch)),
+        checks.more_matches_check(facts),
         checks.embedding_check(c.documents(), 64),
     ])
 

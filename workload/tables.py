@@ -49,6 +49,13 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _name(self, table: str) -> str:
+        return f"siftwell_{self.base[-12:]}_{table}"
+
+    def shards(self) -> int:
+        """Shards of the documents and of every index, equal so that joins are local."""
+        return self._once("shards", lambda: runtime.default_shards(self.table("documents")))
+
     # -- documents ---------------------------------------------------------
 
     def plain_documents(self) -> DataFrame:
@@ -65,8 +72,9 @@ class Corpus:
         """Documents with their vector where there is one."""
         def make() -> DataFrame:
             vectors = self.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-            merged = embed.merge_embeddings(self.plain_documents(), vectors)
-            return src.write_documents(merged, f"{self.base}/documents")
+            spread = self.plain_documents().repartition(self.shards(), "id")
+            merged = embed.merge_embeddings(spread, vectors)
+            return src.write_documents(merged, f"{self.base}/documents", self._name("documents"), self.shards())
         return self._once("documents", make)
 
     def vectors(self) -> DataFrame:
@@ -77,10 +85,9 @@ class Corpus:
     # -- indexes -----------------------------------------------------------
 
     def _index(self, name: str, analyzer: Analyzer, column: str) -> LexicalIndex:
-        table = "siftwell_" + "".join(ch if ch.isalnum() else "_" for ch in f"{self.base[-12:]}_{name}")
         return self._once(name, lambda: save_index(
-            self.plain_documents(), f"{self.base}/{name}", table, analyzer, column,
-            term_buckets=TERM_BUCKETS,
+            self.documents(), f"{self.base}/{name}", self._name(name), analyzer, column,
+            term_buckets=TERM_BUCKETS, shards=self.shards(),
         ))
 
     def index(self) -> LexicalIndex:
