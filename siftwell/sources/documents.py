@@ -17,7 +17,7 @@ ROW_BITS = 33
 def scan_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """``source_file, value``: whole ``*.md`` files, without readme files."""
     files = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+        spark.read.text(folder, wholetext=True, pathGlobFilter="*.md")
         .select(F.col("_metadata.file_name").alias("source_file"), "value")
     )
     return files.filter(~F.lower("source_file").startswith("readme"))
