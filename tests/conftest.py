@@ -18,7 +18,7 @@ from siftwell.sources import documents as src  # noqa: E402
 # texts, a short tip and a long guide on one subject, and a keyword-stuffed page.
 CORPUS = [
     (1, "Troubleshooting pool exhaustion", "When every connection in the pool is busy, new requests wait. "
-        "Check for sessions that stay idle in a transaction, then raise the pool size or fix the leak. Problems "
+        "Check for sessions that stay idle in a transaction, then raise the pool size or repair the leak. Problems "
         "often vanish after a restart of the client.", "troubleshooting"),
     (2, "Getting started with connection pooling", "A database server forks one process per connection. "
         "Pooling keeps a few of them open and shares them.", "tutorial"),
