@@ -20,7 +20,7 @@ from workload.tables import corpus
 HEADLINE = [
     "match_and", "tf_rank_topk", "bm25_topk", "bm25_threshold", "bm25_content_field", "bm25_english",
     "df_word_boundary", "vector_topk", "ann_topk", "rrf_topk", "rrf_weight_sweep",
-    "match_analysis", "term_contributions", "headline", "snippet", "side_by_side", "method_overlap",
+    "match_analysis", "vector_explanation", "term_contributions", "headline", "snippet", "side_by_side", "method_overlap",
     "spam_ratio", "rag_context", "validation_checks", "frontmatter_load", "surrogate_keys", "embed_documents",
 ]
 REPEATS = 3

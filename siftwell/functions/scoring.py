@@ -105,3 +105,12 @@ def length_factor(words: Column, avg_length: Column | float = LABEL_AVG_LENGTH,
         .when(words > avg * long_factor, "penalty (longer than avg)")
         .otherwise("neutral")
     )
+
+
+def fixed(value: Column, decimals: int) -> Column:
+    """Number as text with a fixed count of decimals; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{decimals}f", value.cast("double")))
+
+
+def percent(share: Column, decimals: int = 1) -> Column:
+    return F.concat(fixed(share * 100, decimals), F.lit("%"))

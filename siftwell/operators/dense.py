@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell import runtime
 from siftwell.functions import scoring as sc
 from siftwell.operators import topk
 from siftwell.operators.batch import QueryBatch
@@ -117,6 +118,7 @@ def nearest_rows(vectors: DataFrame, batch: QueryBatch, k: int) -> DataFrame:
     docs = _usable(vectors, batch.n_dims).select("doc_id", "embedding")
     if not _vectors_fit(batch):
         return _nearest_on_grid(docs, batch, k)
+    docs = runtime.limit_tasks(docs)
     shared = vectors.sparkSession.sparkContext.broadcast(_collect_queries(batch))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +283,8 @@ def _probe_by_broadcast(cells: DataFrame, centres: np.ndarray, batch: QueryBatch
                 _offer_blocks(best, members[int(c)], queries, doc_ids[here], unit[here])
         yield best.batch()
 
-    return near.select("doc_id", "embedding", "cell").mapInArrow(scan, NEIGHBOURS)
+    rows = runtime.limit_tasks(near.select("doc_id", "embedding", "cell"))
+    return rows.mapInArrow(scan, NEIGHBOURS)
 
 
 def _probe_by_join(cells: DataFrame, centres: np.ndarray, batch: QueryBatch,

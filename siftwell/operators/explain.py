@@ -45,8 +45,11 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def with_query_terms(results: DataFrame, batch: QueryBatch) -> DataFrame:
-    """Add ``query`` and ``terms``, the display terms of the query."""
-    side = batch.queries.select("query_id", "query", tx.display_terms("query").alias("terms"))
+    """Echo the query: ``query``, its display ``terms``, the ``threshold`` that counts."""
+    side = batch.queries.select(
+        "query_id", "query", tx.display_terms("query").alias("terms"),
+        F.when(F.col("threshold") > 0, F.col("threshold")).alias("threshold"),
+    )
     return results.join(batch.text_side(side), "query_id")
 
 

@@ -111,7 +111,7 @@ def save_index(docs: DataFrame, path: str, name: str, analyzer: Analyzer = Analy
     corpus = spark.read.parquet(f"{path}/corpus_stats")
     (
         _term_stats(postings, corpus)
-        .repartition("term_bucket").sortWithinPartitions("term_bucket", "term")
+        .hint("rebalance", "term_bucket").sortWithinPartitions("term_bucket", "term")
         .write.mode("overwrite").partitionBy("term_bucket").parquet(f"{path}/term_stats")
     )
     return LexicalIndex(postings, spark.read.parquet(f"{path}/term_stats"), corpus, analyzer, term_buckets)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell import runtime
+from siftwell import runtime, schema
 from siftwell.operators import compare, dense, explain, fusion, lexical
 from siftwell.operators.batch import QueryBatch
 from siftwell.operators.index import LexicalIndex
@@ -92,3 +94,35 @@ def explained_hybrid(results: DataFrame, docs: DataFrame, batch: QueryBatch, k:
 def with_headlines(results: DataFrame, docs: DataFrame, batch: QueryBatch, k: int = 10) -> DataFrame:
     texts = explain.spread(explain.with_documents(results, docs, batch, k))
     return explain.headline(texts, batch)
+
+
+def result_rows(explained: DataFrame, method: str) -> DataFrame:
+    """Explained results in the common shape, ready for the result sink.
+
+    What a method does not know (a keyword rank, a headline) is NULL.
+    """
+    def known(name: str, dtype) -> Column:
+        value = F.col(name) if name in explained.columns else F.lit(None)
+        return value.cast(dtype).alias(name)
+
+    analysis = F.struct(*[known(f.name, f.dataType) for f in schema.MATCH_ANALYSIS])
+    return explained.select(
+        F.lit(method).alias("method"), "query_id", "query", "terms", "threshold", "rank", "doc_id",
+        "title", tx.preview("content").alias("content"), "category", "word_count",
+        F.col("score").cast("double").alias("score"), known("headline", "string"),
+        analysis.alias("match_analysis"),
+    )
+
+
+def search_results(index: LexicalIndex, vectors: DataFrame, docs: DataFrame, stats: DataFrame,
+                   batch: QueryBatch, k: int = 10) -> DataFrame:
+    """All four methods for all queries, explained, as one table with ``method``."""
+    lists = all_methods(index, vectors, batch, k)
+    boolean = explain.headline(explained_boolean(lists["boolean"], docs, batch, k), batch, index.analyzer)
+    parts = [
+        result_rows(boolean, "boolean"),
+        result_rows(explained_bm25(lists["bm25"], docs, stats, batch, k), "bm25"),
+        result_rows(explained_vector(lists["vector"], docs, batch, k), "vector"),
+        result_rows(explained_hybrid(lists["hybrid"], docs, batch, k), "hybrid"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -62,6 +62,14 @@ def default_shards(df: DataFrame) -> int:
     return max(cores, min(splits, MAX_SHARDS))
 
 
+def limit_tasks(df: DataFrame, most: int = MAX_SHARDS) -> DataFrame:
+    """Merge input splits, without a shuffle, until at most ``most`` tasks are left.
+
+    For stages that stream their input but return something per task.
+    """
+    return df.coalesce(most) if df.rdd.getNumPartitions() > most else df
+
+
 def forget_table(spark: SparkSession, name: str) -> None:
     """Drop the name of an external table; its files stay."""
     spark.sql(f"DROP TABLE IF EXISTS `{name}`")

@@ -29,3 +29,26 @@ NEIGHBOURS = T.StructType([
     T.StructField("doc_id", T.LongType(), False),
     T.StructField("distance", T.DoubleType(), False),
 ])
+
+CONTRIBUTION = T.StructType([
+    T.StructField("term", T.StringType()),
+    T.StructField("count", T.IntegerType()),
+    T.StructField("idf", T.DoubleType()),
+    T.StructField("doc_freq", T.LongType()),
+    T.StructField("level", T.StringType()),
+])
+
+MATCH_ANALYSIS = T.StructType([
+    T.StructField("matched_terms", T.ArrayType(T.StringType())),
+    T.StructField("missing_terms", T.ArrayType(T.StringType())),
+    T.StructField("term_counts", T.MapType(T.StringType(), T.IntegerType())),
+    T.StructField("contributions", T.ArrayType(CONTRIBUTION)),
+    T.StructField("length_factor", T.StringType()),
+    T.StructField("vector_rank", T.LongType()),
+    T.StructField("keyword_rank", T.LongType()),
+    T.StructField("vector_distance", T.DoubleType()),
+    T.StructField("keyword_score", T.DoubleType()),
+    T.StructField("similarity", T.DoubleType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("why_ranked", T.StringType()),
+])

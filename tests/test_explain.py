@@ -160,6 +160,22 @@ def test_side_by_side(index, vectors, batch, docs, spark):
     assert rates["boolean"][1] >= 2 and rates["bm25"][1] >= rates["boolean"][1]
 
 
+def test_result_rows_of_all_methods(index, vectors, docs, stats, batch, tmp_path, spark):
+    from siftwell import schema
+    from siftwell.sources import documents as src
+
+    limited = batch.with_queries(batch.queries.withColumn("threshold", F.lit(0.5)))
+    rows = search.search_results(index, vectors, docs, stats, limited)
+    assert [f.name for f in rows.schema["match_analysis"].dataType] == schema.MATCH_ANALYSIS.fieldNames()
+    src.write_results(rows, str(tmp_path / "rows"))
+    back = spark.read.parquet(str(tmp_path / "rows"))
+    r = back.filter("method = 'boolean' and query_id = 3 and doc_id = 2").first()
+    assert "<mark>" in r["headline"] and r["query"] == "database connection pooling" and r["threshold"] == 0.5
+    assert r["match_analysis"]["contributions"] is None
+    h = back.filter("method = 'hybrid' and match_analysis.vector_rank is not null").first()
+    assert h["match_analysis"]["vector_distance"] is not None
+
+
 def test_context_keeps_whole_texts_in_rank_order(bm25, docs, batch):
     got = context.assemble_context(bm25, docs, batch, k=2).filter("query_id = 3").first()
     texts = {r["id"]: r["full_text"] for r in docs.collect()}

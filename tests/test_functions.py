@@ -106,6 +106,13 @@ def test_labels(spark):
     assert [g.split()[0] for g in got] == ["boost", "neutral", "neutral", "penalty"]
 
 
+def test_display_formats(spark):
+    assert one(spark, sc.fixed(F.lit(0.0), 4)) == "0.0000"
+    assert one(spark, sc.fixed(F.lit(1234.5), 2)) == "1234.50"
+    assert one(spark, sc.fixed(F.lit(None).cast("double"), 2)) is None
+    assert one(spark, sc.percent(F.lit(0.4567))) == "45.7%"
+
+
 # Pairs printed in the description of the algorithm.
 @pytest.mark.parametrize("word, stem", [
     ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"),

@@ -335,6 +335,30 @@ SQL: dict[str, str] = {
         FROM st LEFT JOIN w ON w.query_id = st.query_id AND w.doc_id = st.doc_id AND w.p >= s AND w.p < s + size
         LEFT JOIN h ON h.query_id = w.query_id AND h.doc_id = w.doc_id AND h.p = w.p GROUP BY st.query_id, st.doc_id"""),
     "side_by_side": with_parts(["combined"], f"SELECT method, query_id, doc_id, rank, {R6} FROM combined"),
+    "search_results": with_parts(["an_bool", "an_bm25", "an_vec", "an_fused", "contrib"], """
+        , u AS (
+          SELECT 'boolean' AS method, query_id, rank, doc_id, score, terms, matched,
+                 NULL::BIGINT AS vector_rank, NULL::BIGINT AS keyword_rank,
+                 CASE WHEN len(matched) = len(terms) THEN '✓ Contains ALL ' || len(terms) || ' query terms'
+                      ELSE 'Contains ' || len(matched) || '/' || len(terms) || ' terms' END AS reason FROM an_bool
+          UNION ALL SELECT 'bm25', query_id, rank, doc_id, score, terms, matched, NULL, NULL,
+                 CASE WHEN len(matched) = 0 THEN 'No direct term matches (scored by related terms)'
+                      ELSE 'Matched ' || len(matched) || '/' || len(terms) || ' terms' END FROM an_bm25
+          UNION ALL SELECT 'vector', query_id, rank, doc_id, similarity, terms, matched, NULL, NULL,
+                 CASE WHEN similarity > 0.4 THEN 'High' WHEN similarity > 0.25 THEN 'Moderate' ELSE 'Low' END
+                 || ' semantic similarity (' || round(similarity * 100)::INT || '%)' FROM an_vec
+          UNION ALL SELECT 'hybrid', query_id, rank, doc_id, score, terms, matched, vector_rank, keyword_rank,
+                 CASE WHEN vector_rank IS NOT NULL AND keyword_rank IS NOT NULL
+                      THEN 'Found by BOTH: Vector #' || vector_rank || ' + Keyword #' || keyword_rank
+                      WHEN vector_rank IS NOT NULL THEN 'Found by VECTOR only: #' || vector_rank
+                      ELSE 'Found by KEYWORD only: #' || keyword_rank END FROM an_fused)
+        SELECT method, u.query_id, rank, u.doc_id, title, left(content, 200) AS content, category,
+               round(score, 6) AS score, word_count, len(terms)::BIGINT AS n_terms, len(matched)::BIGINT AS n_matched,
+               CASE WHEN method = 'bm25' THEN coalesce(n, 0) ELSE -1 END::BIGINT AS n_contributions,
+               vector_rank, keyword_rank, reason
+        FROM u JOIN docs ON id = u.doc_id
+        LEFT JOIN (SELECT query_id, doc_id, count(*) AS n FROM contrib GROUP BY ALL) k
+          ON k.query_id = u.query_id AND k.doc_id = u.doc_id"""),
     "visible_methods": with_parts(["combined"], """
         SELECT method, query_id, doc_id, rank FROM combined WHERE method IN ('bm25', 'hybrid')"""),
     "method_overlap": with_parts(["combined"], """

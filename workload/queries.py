@@ -374,7 +374,7 @@ def rrf_source_labels(c: Corpus) -> DataFrame:
 
 def _counts_text():
     pairs = F.transform(
-        F.array_distinct("terms"), lambda t: F.concat(t, F.lit("="), F.col("term_counts")[t].cast("string"))
+        F.map_entries("term_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
     )
     return F.array_join(pairs, " ").alias("term_counts")
 
@@ -472,6 +472,22 @@ def side_by_side(c: Corpus) -> DataFrame:
     return _combined(c).select("method", "query_id", "doc_id", "rank", *rounded("score"))
 
 
+@query
+def search_results(c: Corpus) -> DataFrame:
+    """All methods, explained, in the shape that is written as result rows."""
+    batch = c.keyword_queries()
+    stats = explain.display_term_stats(c.index(), c.documents(), batch)
+    rows = search.search_results(c.index(), c.vectors(), c.documents(), stats, batch, K)
+    return rows.select(
+        "method", "query_id", "rank", "doc_id", "title", "content", "category", *rounded("score"),
+        F.col("word_count").cast("long").alias("word_count"),
+        F.size("terms").cast("long").alias("n_terms"),
+        F.size("match_analysis.matched_terms").cast("long").alias("n_matched"),
+        F.coalesce(F.size("match_analysis.contributions"), F.lit(-1)).cast("long").alias("n_contributions"),
+        "match_analysis.vector_rank", "match_analysis.keyword_rank", "match_analysis.reason",
+    )
+
+
 @query
 def visible_methods(c: Corpus) -> DataFrame:
     return compare.visible(_combined(c), ["bm25", "hybrid"]).select("method", "query_id", "doc_id", "rank")
