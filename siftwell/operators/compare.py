@@ -40,6 +40,19 @@ def rank_table(combined: DataFrame, methods: tuple[str, ...] = METHODS) -> DataF
     return combined.groupBy("query_id", "doc_id").pivot("method", list(methods)).agg(F.min("rank"))
 
 
+def flagged(results: DataFrame, ids: DataFrame, batch: QueryBatch, name: str,
+            rows_per_query: int = 10) -> DataFrame:
+    """Add the flag ``name``: is the document in ``ids``, a table of ``doc_id``?
+
+    The long table of ids is only streamed past the short list; what it leaves
+    is no longer than the list itself.
+    """
+    short = batch.per_query(results.select("query_id", "doc_id"), rows_per_query)
+    found = ids.select("doc_id").join(short, "doc_id").distinct().withColumn(name, F.lit(True))
+    marked = results.join(batch.per_query(found, rows_per_query), ["query_id", "doc_id"], "left")
+    return marked.withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def hit_rate(combined: DataFrame, relevant: DataFrame, batch: QueryBatch,
              k: int = 10, rows_per_query: int = 40) -> DataFrame:
     """Per method: queries with results, queries with a relevant document in the first ``k``.
@@ -48,7 +61,7 @@ def hit_rate(combined: DataFrame, relevant: DataFrame, batch: QueryBatch,
     the result lists, which are the side that is broadcast when they fit.
     """
     listed = combined.filter(F.col("rank") <= k)
-    hits = relevant.select("doc_id").distinct().join(
+    hits = relevant.select("doc_id").join(
         batch.per_query(listed.select("method", "query_id", "doc_id"), rows_per_query), "doc_id"
     )
     hit_queries = hits.groupBy("method", "query_id").agg(F.count(F.lit(1)).alias("_n"))

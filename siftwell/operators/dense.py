@@ -29,8 +29,8 @@ from siftwell.schema import NEIGHBOURS
 
 # Fixed value: entries of one distance block held by a task (doubles, 32 MB).
 BLOCK_ENTRIES = 1 << 22
-# Fixed value: rows of one side of a grid block.
-GRID_ROWS = 1 << 16
+# Fixed value: bytes of one side of a grid block as a matrix of doubles (256 MB).
+GRID_BYTES = 1 << 28
 
 _OUT = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("distance", pa.float64())])
 
@@ -97,7 +97,7 @@ def _usable(vectors: DataFrame, dims: int) -> DataFrame:
 
 
 def _query_vectors(batch: QueryBatch) -> DataFrame:
-    return batch.queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    return _usable(batch.queries, batch.n_dims).select("query_id", "embedding")
 
 
 def _vectors_fit(batch: QueryBatch) -> bool:
@@ -149,12 +149,16 @@ def _score_pair(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
     return pa.Table.from_batches([best.batch()])
 
 
+def _grid_rows(batch: QueryBatch) -> int:
+    return max(1, GRID_BYTES // (8 * max(1, batch.n_dims)))
+
+
 def _blocks(id_column: str, n: int):
     return F.pmod(F.xxhash64(id_column), F.lit(n)).cast("int")
 
 
 def _nearest_on_grid(docs: DataFrame, batch: QueryBatch, k: int,
-                     grid_rows: int = GRID_ROWS) -> DataFrame:
+                     grid_rows: int | None = None) -> DataFrame:
     """Exact search when the queries are too many to broadcast.
 
     Both sides are cut by a hash of their unique ids into blocks of about
@@ -162,6 +166,7 @@ def _nearest_on_grid(docs: DataFrame, batch: QueryBatch, k: int,
     in its own group, and a group returns ``k`` rows per query. Group sizes do
     not depend on the data, so no key can grow hot.
     """
+    grid_rows = grid_rows or _grid_rows(batch)
     q_blocks = max(1, math.ceil(batch.n_queries / grid_rows))
     d_blocks = max(1, math.ceil(docs.count() / grid_rows))
     left = docs.withColumn("_d", _blocks("doc_id", d_blocks)).withColumn(
@@ -288,12 +293,13 @@ def _probe_by_broadcast(cells: DataFrame, centres: np.ndarray, batch: QueryBatch
 
 
 def _probe_by_join(cells: DataFrame, centres: np.ndarray, batch: QueryBatch,
-                   k: int, n_probe: int, grid_rows: int = GRID_ROWS) -> DataFrame:
+                   k: int, n_probe: int, grid_rows: int | None = None) -> DataFrame:
     """Equi-join of probes and vectors on the cell, with large cells split.
 
     Counts per cell (at most n_cells rows on either side) say into how many
     blocks a cell has to be cut; blocks are chosen by a hash of the unique id.
     """
+    grid_rows = grid_rows or _grid_rows(batch)
     shared = cells.sparkSession.sparkContext.broadcast(centres)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -179,7 +179,9 @@ def join_postings(index: LexicalIndex, weighted_terms: DataFrame, batch: QueryBa
     then stay where they lie. Otherwise both sides are shuffled by term, with
     every hot term split over as many salts as keep a piece at HOT_FRACTION of
     all postings. There can be at most 1 / HOT_FRACTION hot terms, so that
-    table is small enough to broadcast by construction.
+    table is small enough to broadcast by construction. A term that is common
+    among the queries but rare in the corpus is left to the skew handling of
+    adaptive execution.
     """
     postings = index.postings.drop("positions")
     keys = ["term_bucket", "term"]

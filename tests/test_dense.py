@@ -76,6 +76,13 @@ def test_grid_search_beyond_the_broadcast_limit(spark, vectors):
     assert ranks(dense.vector_topk(vectors, batch, 10)) == model(10)
 
 
+def test_query_vectors_of_another_dimension_find_nothing(spark, vectors):
+    rows = [(1, "q", [1.0] * DIMS), (2, "q", [1.0, 2.0])]
+    batch = QueryBatch.measure(spark.createDataFrame(rows, "query_id long, query string, embedding array<float>"))
+    for b in (batch, QueryBatch.measure(batch.queries, broadcast_bytes=0)):
+        assert {r["query_id"] for r in dense.vector_topk(vectors, b, 3).collect()} == {1}
+
+
 def test_distance_is_independent_of_scale_and_complements_similarity(spark, vectors):
     row = dense.vector_topk(vectors, asked(spark), 1).filter("query_id = 1").first()
     assert row["distance"] == pytest.approx(0, abs=1e-9)

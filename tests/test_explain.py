@@ -182,6 +182,13 @@ def test_context_keeps_whole_texts_in_rank_order(bm25, docs, batch):
     assert got["n_docs"] == 2 and got["context"] == "\n\n".join(texts[d] for d in got["doc_ids"])
 
 
+def test_flags_from_a_long_table_with_repeats(bm25, batch, spark):
+    ids = spark.createDataFrame([(11,), (11,), (2,), (777,)], "doc_id long")
+    marked = compare.flagged(bm25, ids, batch, "spam")
+    assert marked.count() == bm25.count()
+    assert {r["doc_id"] for r in marked.filter("spam").collect()} == {2, 11}
+
+
 def test_lookup_of_first_rows(bm25):
     spam = topk.first_of_each(bm25, F.col("doc_id") == 11).filter("query_id = 9").first()
     assert spam["flagged"]["doc_id"] == 11 and spam["other"]["doc_id"] != 11

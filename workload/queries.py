@@ -302,7 +302,7 @@ def vector_labels(c: Corpus) -> DataFrame:
 @query
 def ann_topk(c: Corpus) -> DataFrame:
     cells, model = c.cells()
-    near = dense.ann_topk(cells, model, c.keyword_queries(), K, n_probe=4)
+    near = dense.ann_topk(cells, model, c.keyword_queries(), K, n_probe=tb.N_PROBE)
     return near.select("query_id", "doc_id", "rank", *rounded("distance", "similarity"))
 
 
@@ -317,7 +317,7 @@ def ann_all_cells(c: Corpus) -> DataFrame:
 @query
 def ann_recall(c: Corpus) -> DataFrame:
     cells, model = c.cells()
-    near = dense.ann_topk(cells, model, c.keyword_queries(), K, n_probe=4)
+    near = dense.ann_topk(cells, model, c.keyword_queries(), K, n_probe=tb.N_PROBE)
     return dense.recall(near, _nearest(c)).select("query_id", *rounded("recall"))
 
 
@@ -534,10 +534,8 @@ def spam_ratio(c: Corpus) -> DataFrame:
 @query
 def first_spam_and_other(c: Corpus) -> DataFrame:
     """The best labelled-spam row and the best other row of each list."""
-    spam = c.spam_ids().withColumn("is_spam", F.lit(True))
-    batch = c.keyword_queries()
-    marked = batch.per_query(_bm25(c), K).join(spam, "doc_id", "left")
-    first = topk.first_of_each(marked, F.col("is_spam").isNotNull())
+    marked = compare.flagged(_bm25(c), c.spam_ids(), c.keyword_queries(), "is_spam", K)
+    first = topk.first_of_each(marked, F.col("is_spam"))
     return first.select(
         "query_id", F.col("flagged.doc_id").alias("spam_doc"), F.col("other.doc_id").alias("other_doc")
     )

@@ -22,6 +22,7 @@ from siftwell.sources import documents as src
 
 TERM_BUCKETS = 8
 N_CELLS = 16
+N_PROBE = 8
 # Phrases looked for in the corpus, thresholds of the queries.
 NEEDLE = "tion"
 PHRASE = "the"
