@@ -27,6 +27,11 @@ LONG_FACTOR = 1.5
 HIGH_SIMILARITY = 0.4
 MODERATE_SIMILARITY = 0.25
 
+# The texts of the length factor.
+SHORT_TEXT = "boost (shorter than avg)"
+LONG_TEXT = "penalty (longer than avg)"
+NEUTRAL_TEXT = "neutral"
+
 
 def idf(n_docs: Column, doc_freq: Column) -> Column:
     """ln((N - df + 0.5) / (df + 0.5) + 1); NULL for a term found nowhere."""
@@ -101,9 +106,9 @@ def length_factor(words: Column, avg_length: Column | float = LABEL_AVG_LENGTH,
                   long_factor: float = LONG_FACTOR) -> Column:
     avg = F.lit(avg_length) if isinstance(avg_length, (int, float)) else avg_length
     return (
-        F.when(words < avg, "boost (shorter than avg)")
-        .when(words > avg * long_factor, "penalty (longer than avg)")
-        .otherwise("neutral")
+        F.when(words < avg, SHORT_TEXT)
+        .when(words > avg * long_factor, LONG_TEXT)
+        .otherwise(NEUTRAL_TEXT)
     )
 
 

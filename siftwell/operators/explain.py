@@ -16,6 +16,20 @@ from siftwell.operators.analyze import Analyzer, with_terms
 from siftwell.operators.batch import QueryBatch
 from siftwell.operators.index import LexicalIndex, join_postings, look_up_terms, term_bucket
 
+# The texts of the explanations.
+ALL_TERMS = "✓ Contains ALL %d query terms"
+SOME_TERMS = "Contains %d/%d terms"
+NO_DIRECT_TERMS = "No direct term matches (scored by related terms)"
+MATCHED_TERMS = "Matched %d/%d terms"
+IDF_BOOST = "IDF boost from: "
+NO_BOOST = "none"
+LOW_RELEVANCE = "Low relevance score"
+SIMILARITY = "%s semantic similarity (%d%%)"
+BY_BOTH = "Found by BOTH: Vector #%d + Keyword #%d"
+BY_VECTOR = "Found by VECTOR only: #%d"
+BY_KEYWORD = "Found by KEYWORD only: #%d"
+RRF_WEIGHTS = "RRF combines ranks: (%s×vector) + (%s×keyword)"
+
 
 # -- attaching text ----------------------------------------------------------
 
@@ -176,8 +190,8 @@ def explain_boolean(rows: DataFrame) -> DataFrame:
     all_found = F.size("matched_terms") == F.size("terms")
     return rows.select(
         "*",
-        F.when(all_found, F.format_string("✓ Contains ALL %d query terms", F.size("terms")))
-        .otherwise(_share("Contains %d/%d terms")).alias("reason"),
+        F.when(all_found, F.format_string(ALL_TERMS, F.size("terms")))
+        .otherwise(_share(SOME_TERMS)).alias("reason"),
         F.lit("term frequency only (no IDF weighting)").alias("why_ranked"),
     )
 
@@ -187,14 +201,14 @@ def explain_bm25(rows: DataFrame, avg_length: float = sc.LABEL_AVG_LENGTH) -> Da
     high = F.filter("contributions", lambda c: c["level"] == "HIGH")
     names = F.array_join(F.transform(high, lambda c: c["term"]), ", ")
     boosted = F.concat(
-        F.lit("IDF boost from: "), F.when(F.size(high) > 0, names).otherwise("none")
+        F.lit(IDF_BOOST), F.when(F.size(high) > 0, names).otherwise(NO_BOOST)
     )
     return rows.select(
         "*",
         sc.length_factor(F.col("word_count"), avg_length).alias("length_factor"),
-        F.when(F.size("matched_terms") == 0, "No direct term matches (scored by related terms)")
-        .otherwise(_share("Matched %d/%d terms")).alias("reason"),
-        F.when(F.size("contributions") > 0, boosted).otherwise("Low relevance score").alias("why_ranked"),
+        F.when(F.size("matched_terms") == 0, NO_DIRECT_TERMS)
+        .otherwise(_share(MATCHED_TERMS)).alias("reason"),
+        F.when(F.size("contributions") > 0, boosted).otherwise(LOW_RELEVANCE).alias("why_ranked"),
     )
 
 
@@ -204,7 +218,7 @@ def explain_vector(rows: DataFrame, high: float = sc.HIGH_SIMILARITY,
     return rows.select(
         "*",
         F.format_string(
-            "%s semantic similarity (%d%%)",
+            SIMILARITY,
             sc.similarity_class(F.col("similarity"), high, moderate), percent,
         ).alias("reason"),
         F.lit("embedding cosine similarity").alias("why_ranked"),
@@ -216,11 +230,11 @@ def explain_hybrid(rows: DataFrame) -> DataFrame:
     return rows.select(
         "*",
         F.when(v.isNotNull() & k.isNotNull(),
-               F.format_string("Found by BOTH: Vector #%d + Keyword #%d", v, k))
-        .when(v.isNotNull(), F.format_string("Found by VECTOR only: #%d", v))
-        .otherwise(F.format_string("Found by KEYWORD only: #%d", k)).alias("reason"),
+               F.format_string(BY_BOTH, v, k))
+        .when(v.isNotNull(), F.format_string(BY_VECTOR, v))
+        .otherwise(F.format_string(BY_KEYWORD, k)).alias("reason"),
         F.format_string(
-            "RRF combines ranks: (%s×vector) + (%s×keyword)",
+            RRF_WEIGHTS,
             F.col("vector_weight").cast("string"), F.col("keyword_weight").cast("string"),
         ).alias("why_ranked"),
     )
