@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import jaccard, language, quality, toxicity, training
+from siftwell.llm import jaccard, language, lines, quality, toxicity, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -43,6 +43,16 @@ def op8_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    text = F.coalesce("deduped.text", F.lit(""))
+    return found.select(
+        "doc_id", "deduped.n_lines", "deduped.n_removed", "deduped.removed_words",
+        F.octet_length(text).cast("long").alias("kept_bytes"), F.crc32(text).alias("text_crc32"),
+    )
+
+
 @query
 def op10_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
