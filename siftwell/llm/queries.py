@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import jaccard, language, lines, quality, toxicity, training
+from siftwell.llm import jaccard, language, lines, positional, quality, toxicity, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,6 +28,11 @@ def op2_language_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", training.held_out("doc_id", 5, 0).alias("held_out"), "language.lang_pred", "language.score")
 
 
+@query
+def op5_benchmark_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
