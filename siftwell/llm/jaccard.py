@@ -39,7 +39,6 @@ from siftwell.llm.components import connected_components
 ORDER_SEEDS = (0x51ED270B7F4A7C15, 0x2545F4914F6CDD1D)
 # Fixed value: rounds with centres before the exact round.
 CENTRE_ROUNDS = 2
-LOW_48 = np.uint64((1 << 48) - 1)
 
 
 def _least_shared(n, percent: int):
@@ -65,103 +64,121 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cls long, n_shingles long")
 
 
-def _blocks(docs: DataFrame, width: int, parts: int) -> DataFrame:
-    """(part, block): shingles of each batch by hash range; a block is classes, their counts, tokens of 48 bits."""
+def _pack(names: np.ndarray, sizes: np.ndarray, owner: np.ndarray, *columns: np.ndarray) -> bytes:
+    """A block: the classes that own something in it with their set sizes, how much each owns, and its columns, by class."""
+    who, counts = np.unique(owner, return_counts=True)
+    head = [np.array([len(who), len(owner)], np.int64), names[who], sizes[who].astype(np.uint32), counts.astype(np.uint32)]
+    return b"".join(x.tobytes() for x in (*head, *columns))
+
+
+def _unpack(block: bytes, *kinds: type) -> list[np.ndarray]:
+    """Class and set size of each element, then the columns."""
+    n, m = np.frombuffer(block, np.int64, 2)
+    names = np.frombuffer(block, np.int64, n, 16)
+    sizes, counts = np.frombuffer(block, np.uint32, 2 * n, 16 + 8 * n).reshape(2, n)
+    out, at = [np.repeat(names, counts), np.repeat(sizes, counts)], 16 + 16 * n
+    for kind in kinds:
+        out.append(np.frombuffer(block, kind, m, at))
+        at += m * np.dtype(kind).itemsize
+    return out
+
+
+def _dealt(key: np.ndarray, parts: int):
+    """(part, elements of the part in their order) of the parts that have any."""
+    order = np.argsort(key, kind="stable")
+    cuts = np.searchsorted(key[order], np.arange(parts + 1))
+    for p in range(parts):
+        if cuts[p] < cuts[p + 1]:
+            yield p, order[cuts[p] : cuts[p + 1]]
+
+
+def _token_blocks(docs: DataFrame, width: int, parts: int) -> DataFrame:
+    """(part, block): the shingles of each batch by hash range, with 48 bits each."""
 
     def run(batches):
         for batch in batches:
-            keys: dict[int, np.ndarray] = {}
+            sets: dict[int, np.ndarray] = {}
             for _, _, offsets, data in ar.text_slices(batch.column(0)):
                 h, _, _, at = ar.words(ar.LOWER[data], offsets)
                 for i in range(len(offsets) - 1):
                     own = h[at[i] : at[i + 1]]
-                    if len(own) and (key := ar.content_key(own)) not in keys:
-                        keys[key] = ar.shingles(own, width)
-            if not keys:
+                    if len(own) and (key := ar.content_key(own)) not in sets:
+                        sets[key] = ar.shingles(own, width)
+            if not sets:
                 continue
-            tokens = np.concatenate(list(keys.values()))
-            owner = np.repeat(np.arange(len(keys)), [len(x) for x in keys.values()])
-            names = np.fromiter(keys, np.int64, len(keys))
-            part = ((tokens >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            names, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(x) for x in sets.values()])
+            tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), sizes)
             found, blocks = [], []
-            for p in range(parts):
-                own = order[cuts[p] : cuts[p + 1]]
-                if len(own):
-                    who, counts = np.unique(owner[own], return_counts=True)
-                    low = tokens[own]
-                    found.append(p)
-                    blocks.append(b"".join([
-                        np.array([len(who), len(own)], np.int64).tobytes(), names[who].tobytes(), counts.astype(np.uint32).tobytes(),
-                        (low & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((low & LOW_48) >> np.uint64(32)).astype(np.uint16).tobytes(),
-                    ]))
+            for p, own in _dealt(((tokens >> np.uint64(48)) % np.uint64(parts)).astype(np.int64), parts):
+                low = tokens[own]
+                found.append(p)
+                blocks.append(_pack(names, sizes, owner[own], low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16)))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
     return docs.select("text").mapInArrow(run, "part int, block binary")
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, m = np.frombuffer(block, np.int64, 2)
-    names = np.frombuffer(block, np.int64, n, 16)
-    counts = np.frombuffer(block, np.uint32, n, 16 + 8 * n)
-    low = np.frombuffer(block, np.uint32, m, 16 + 12 * n)
-    high = np.frombuffer(block, np.uint16, m, 16 + 12 * n + 4 * m)
-    return np.repeat(names, counts), low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
-
-
-def _shared_of_part(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Tokens that more than one class has, as lists by class."""
-    parts = [_unpack(x.as_py()) for x in table.column("block").combine_chunks()]
-    owner, tokens = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-    del parts
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    same = np.zeros(len(tokens), bool)
-    same[1:] = tokens[1:] == tokens[:-1]
-    lone = ~same
-    lone[:-1] &= ~same[1:]
-    tokens, owner = tokens[~lone], owner[~lone]
-    order = np.lexsort((owner, tokens))
-    tokens, owner = tokens[order], owner[order]
-    keep = np.ones(len(tokens), bool)
-    keep[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-    tokens, owner = tokens[keep], owner[keep]
-    _, which, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    df = counts[which]
-    tokens, owner, df = tokens[df > 1], owner[df > 1], df[df > 1]
-    order = np.argsort(owner, kind="stable")
-    tokens, owner, df = tokens[order], owner[order], df[order]
-    part = np.uint64(key[0].as_py())
-    ids = (tokens | (part << np.uint64(48))).view(np.int64)
-    who, first = np.unique(owner, return_index=True)
-    at = pa.array(np.append(first, len(owner)), pa.int32())
-    return pa.table({
-        "cls": pa.array(who, pa.int64()),
-        "tokens": pa.ListArray.from_arrays(at, pa.array(ids)),
-        "dfs": pa.ListArray.from_arrays(at, pa.array(df.astype(np.int64))),
-    })
-
-
-def _ordered(classes: DataFrame, percent: int) -> DataFrame:
-    """Sorted tokens and the three prefixes of each class."""
+def _joined_blocks(table: pa.Table, *kinds: type) -> list[np.ndarray]:
+    parts = [_unpack(x.as_py(), *kinds) for x in table.column("block").combine_chunks()]
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
+def _shared_tokens(parts: int):
+    """Of one hash range: the tokens that more than one class has, with their document frequency, dealt by class."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        owner, size, low, high = _joined_blocks(table, np.uint32, np.uint16)
+        tokens = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+        order = np.argsort(tokens, kind="stable")
+        same = np.zeros(len(tokens), bool)
+        same[1:] = tokens[order][1:] == tokens[order][:-1]
+        lone = ~same
+        lone[:-1] &= ~same[1:]
+        order = order[~lone]
+        order = order[np.lexsort((owner[order], tokens[order]))]
+        tokens, owner, size = tokens[order], owner[order], size[order]
+        keep = np.ones(len(tokens), bool)
+        keep[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+        tokens, owner, size = tokens[keep], owner[keep], size[keep]
+        _, which, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        df = counts[which]
+        held = np.flatnonzero(df > 1)
+        held = held[np.argsort(owner[held], kind="stable")]
+        names, first, place = np.unique(owner[held], return_index=True, return_inverse=True)
+        ids = tokens[held] | (np.uint64(key[0].as_py()) << np.uint64(48))
+        found, blocks = [], []
+        for p, own in _dealt(names[place] % parts, parts):
+            found.append(p)
+            blocks.append(_pack(names, size[held][first], place[own], ids[own], df[held][own].astype(np.uint32)))
+        return pa.table({"part": pa.array(found, pa.int32()), "block": pa.array(blocks, pa.binary())})
+
+    return run
+
+
+def _classes(percent: int):
+    """Of the classes of one part, those with enough shared tokens: sorted tokens and the prefixes in three orders."""
+
+    def run(table: pa.Table) -> pa.Table:
+        owner, size, tokens, df = _joined_blocks(table, np.int64, np.uint32)
+        order = np.argsort(owner, kind="stable")
+        names, first = np.unique(owner[order], return_index=True)
+        out: dict[str, list] = {k: [] for k in ("cls", "n", "typical", "tokens", "p1", "p2", "p3")}
+        for name, own in zip(names, np.split(order, first[1:])):
+            n, t, d = int(size[own[0]]), tokens[own], df[own]
+            if len(t) < _least_shared(n, percent):
+                continue
+            prefix = (n - _least_shared(n, percent) + 1) - (n - len(t))
+            out["cls"].append(name)
+            out["n"].append(n)
+            out["typical"].append(float(d.sum() / n))
+            out["tokens"].append(np.sort(t))
+            out["p1"].append(t[np.lexsort((t, d))[:prefix]])
+            for k, seed in zip(("p2", "p3"), ORDER_SEEDS):
+                out[k].append(t[np.argsort(ar.mix(t.view(np.uint64) ^ np.uint64(seed)))[:prefix]])
+        kinds = {"cls": pa.int64(), "n": pa.int64(), "typical": pa.float64()}
+        return pa.table({k: pa.array(v, kinds.get(k, pa.list_(pa.int64()))) for k, v in out.items()})
 
-    def run(batches):
-        for batch in batches:
-            rows = batch.to_pydict()
-            out = {k: [] for k in ("typical", "tokens", "p1", "p2", "p3")}
-            for n, tokens, dfs in zip(rows["n"], rows["tokens"], rows["dfs"]):
-                t, df = np.array(tokens, np.int64), np.array(dfs, np.int64)
-                prefix = (n - _least_shared(n, percent) + 1) - (n - len(t))
-                out["tokens"].append(np.sort(t))
-                out["typical"].append(float(df.sum() / n))
-                out["p1"].append(t[np.lexsort((t, df))[:prefix]])
-                for name, seed in zip(("p2", "p3"), ORDER_SEEDS):
-                    out[name].append(t[np.argsort(ar.mix(t.view(np.uint64) ^ np.uint64(seed)))[:prefix]])
-            yield pa.RecordBatch.from_pydict({"cls": batch.column("cls"), "n": batch.column("n"),
-                                              **{k: pa.array(v, pa.float64() if k == "typical" else pa.list_(pa.int64())) for k, v in out.items()}})
-
-    return classes.mapInArrow(run, "cls long, n long, typical double, tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>")
+    return run
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -226,11 +243,9 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
     documents = runtime.write_scratch(profiles(docs, width), "profiles")
     splits = docs.rdd.getNumPartitions()
     parts = min(65536, max(int(spark.conf.get("spark.sql.shuffle.partitions")), splits))
-    shared = _blocks(docs, width, parts).groupBy("part").applyInArrow(_shared_of_part, "cls long, tokens array<long>, dfs array<long>")
-    shared = shared.groupBy("cls").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.flatten(F.collect_list("dfs")).alias("dfs"))
-    sizes = documents.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"))
-    enough = shared.join(sizes, "cls").filter(F.expr(f"size(tokens) >= (n * {percent} + 99) div 100"))
-    classes = runtime.write_scratch(_ordered(enough.select("cls", "n", "tokens", "dfs"), percent), "classes")
+    blocks = _token_blocks(docs, width, parts).groupBy("part").applyInArrow(_shared_tokens(parts), "part int, block binary")
+    kinds = "cls long, n long, typical double, tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>"
+    classes = runtime.write_scratch(blocks.groupBy("part").applyInArrow(_classes(percent), kinds), "classes")
 
     postings = runtime.write_scratch(classes.select(
         "cls", "n", "typical", F.posexplode("p1").alias("i", "t"), (F.col("n") - F.size("tokens")).alias("lone")
