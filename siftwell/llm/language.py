@@ -157,8 +157,8 @@ def _predict(model: LanguageModel, texts: pa.Array) -> pa.Array:
         [pa.array(np.where(known, names[best], UNKNOWN), pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))], ["lang_pred", "score"])
 
 
-def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` and ``language`` (lang_pred string, score double), from the text alone.
+def predict_language(docs: DataFrame, model: LanguageModel, into: str = "language") -> DataFrame:
+    """All columns of ``docs`` and one named by ``into`` (lang_pred string, score double), from the text alone.
 
     A null text, or one without a letter, is ``und`` with score 0. No shuffle.
     """
@@ -169,4 +169,4 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for texts in batches:
             yield _predict(shared.value, texts)
 
-    return docs.withColumn("language", predict(F.col("text")))
+    return docs.withColumn(into, predict(F.col("text")))

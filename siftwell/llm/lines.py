@@ -201,8 +201,8 @@ def _apply(texts: pa.Array, cuts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], list(names))
 
 
-def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``docs``, with ``deduped``: (text, n_lines, n_removed, removed_words).
+def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS, into: str = "deduped") -> DataFrame:
+    """All columns of ``docs``, with one more, named by ``into``: (text, n_lines, n_removed, removed_words).
 
     Documents are ordered by doc_id, so of two that share a block the one with the larger
     doc_id loses it. Rows without a doc_id or a text stay as they are (a null text has no
@@ -222,6 +222,6 @@ def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int
         for texts, found in batches:
             yield _apply(texts, found)
 
-    on = (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_fp"))
+    on = (docs["doc_id"].cast("long") == side["_id"]) & (F.xxhash64(docs["text"]) == side["_fp"])
     joined = docs.join(side, on, "left")
-    return joined.select(*[docs[c] for c in docs.columns], apply(docs["text"], F.col("_cuts")).alias("deduped"))
+    return joined.select(*[docs[c] for c in docs.columns if c != into], apply(docs["text"], side["_cuts"]).alias(into))

@@ -89,8 +89,8 @@ def fit_quality(sample: list[tuple[bytes, int]]) -> QualityModel:
     return model
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """All columns of ``docs`` and ``quality_score`` (0 to 1); null counts as an empty text. No shuffle."""
+def score_quality(docs: DataFrame, model: QualityModel, into: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` and one named by ``into`` (0 to 1); null counts as an empty text. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("double")
@@ -100,7 +100,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
             raw = [t.encode() if t else b"" for t in texts.to_pylist()]
             yield pa.array(shared.value.scores(raw, tools), pa.float64())
 
-    return docs.withColumn("quality_score", score(F.col("text")))
+    return docs.withColumn(into, score(F.col("text")))
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, rows: int = training.SAMPLE_ROWS) -> QualityModel:

@@ -281,8 +281,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = training.SAMP
     return fit_toxicity(training.labelled_sample(docs, known, ~training.held_out("doc_id", 5, 0), rows))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns of ``docs`` and ``toxicity`` (0 to 1); null counts as an empty text. No shuffle."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, into: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and one named by ``into`` (0 to 1); null counts as an empty text. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("double")
@@ -290,4 +290,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for texts in batches:
             yield pa.array(shared.value.scores(texts), pa.float64())
 
-    return docs.withColumn("toxicity", score(F.col("text")))
+    return docs.withColumn(into, score(F.col("text")))
