@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import jaccard, language, lines, pieces, positional, quality, toxicity, training
+from siftwell.llm import forest, jaccard, language, lines, pieces, positional, quality, toxicity, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.vector_links(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_language_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
