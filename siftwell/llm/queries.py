@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import forest, jaccard, language, lines, pieces, positional, quality, toxicity, training
+from siftwell.llm import forest, jaccard, language, lines, pieces, positional, quality, sharding, toxicity, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -33,6 +33,11 @@ def op2_language_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", training.held_out("doc_id", 5, 0).alias("held_out"), "language.lang_pred", "language.score")
 
 
+@query
+def op3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
 @query
 def op5_benchmark_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
