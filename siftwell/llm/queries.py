@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import forest, jaccard, language, lines, pieces, positional, quality, sharding, toxicity, training
+from siftwell.llm import forest, jaccard, kneser_ney, language, lines, pieces, positional, quality, sharding, toxicity, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -38,6 +38,15 @@ def op3_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+@query
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = training.held_out("doc_id", 10, 0)
+    model = kneser_ney.fit_model(docs.filter(~held))
+    return kneser_ney.score_texts(docs, model).select(
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 @query
 def op5_benchmark_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
