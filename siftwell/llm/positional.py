@@ -3,10 +3,10 @@
 The index is a stored table of postings (document, term, position) of every term
 that occurs in a test item; other terms cannot be in a match and need no
 postings. A test window names its terms with their offsets, rarest first by the
-number of postings in the index. Documents that have the rarest term are
-candidates; for each of them the position lists of the window's terms, adjusted by
-their offsets, are intersected from the rarest on, and what is left are the exact
-places of the phrase. ``near_matches`` asks for the same terms in any order within a span.
+number of postings in the index. Documents whose postings of the two rarest terms
+meet once they are adjusted by their offsets are candidates; for each of them the
+position lists of all the window's terms are intersected in this way from the rarest
+on, and what is left are the exact places of the phrase. ``near_matches`` asks for the same terms in any order within a span.
 
 Position lists belong to one document, so no list grows with the corpus. A term
 or a passage may be in any share of the documents: every step is linear in the
@@ -78,22 +78,36 @@ def _ranked_windows(windows: DataFrame, index: DataFrame) -> DataFrame:
     return runtime.write_scratch(ranked.filter("size(lists) = n"), "windows")
 
 
-def _candidates(index: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((row, wid) that have the window's rarest term, position lists by term of these rows)."""
-    anchors = ranked.select("wid", F.col("lists")[0]["h"].alias("h"))
-    found = index.filter("h is not null").join(_small(anchors, BROADCAST_WINDOWS), "h").select("row", "wid").distinct()
-    found = runtime.write_scratch(found, "candidates")
+def _lists_of(index: DataFrame, found: DataFrame) -> DataFrame:
+    """(row, lists_of): position lists by term of the documents in ``found``."""
     rows = found.select("row").distinct()
     held = index.filter("h is not null").join(_small(rows, BROADCAST_TERMS), "row", "left_semi")
     lists = held.repartition("row").groupBy("row", "h").agg(F.collect_list("pos").alias("at"))
-    return found, lists.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("h", "at"))).alias("lists_of"))
+    return lists.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("h", "at"))).alias("lists_of"))
+
+
+def _phrase_candidates(index: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(row, wid) where the two rarest terms of a window stand at the distance they have in it."""
+    anchors = ranked.select("wid", F.explode(F.slice("lists", 1, 2)).alias("t"), F.least("n", F.lit(2)).alias("need"))
+    anchors = anchors.select("wid", "need", F.col("t.h").alias("h"), F.col("t.off").alias("off"))
+    starts = index.filter("h is not null").join(_small(anchors, BROADCAST_WINDOWS), "h").select("row", "wid", "need", (F.col("pos") - F.col("off")).alias("start"))
+    # Postings of a document lie in one task, so nearly all single hits are counted before the shuffle.
+    met = starts.groupBy("row", "wid", "start", "need").agg(F.count("*").alias("k")).filter("k = need")
+    return runtime.write_scratch(met.select("row", "wid").distinct(), "candidates")
+
+
+def _near_candidates(index: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(row, wid) where a document has the rarest term of a window."""
+    anchors = ranked.select("wid", F.col("lists")[0]["h"].alias("h"))
+    found = index.filter("h is not null").join(_small(anchors, BROADCAST_WINDOWS), "h").select("row", "wid").distinct()
+    return runtime.write_scratch(found, "candidates")
 
 
 def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     """(row, wid, n, items, starts): the places where a window's words follow one another in a document."""
     ranked = _ranked_windows(windows, index)
-    found, lists = _candidates(index, ranked)
-    pairs = found.join(lists, "row").join(_small(ranked, BROADCAST_WINDOWS), "wid")
+    found = _phrase_candidates(index, ranked)
+    pairs = found.join(_lists_of(index, found), "row").join(_small(ranked, BROADCAST_WINDOWS), "wid")
 
     def meet(starts, term):
         at = F.transform(F.coalesce(F.col("lists_of")[term["h"]], F.array().cast("array<int>")), lambda p: p - term["off"])
@@ -107,8 +121,8 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
 def near_matches(index: DataFrame, windows: DataFrame, span: int) -> DataFrame:
     """(row, wid, n, items, places): where all distinct terms of a window lie within ``span`` words from the rarest, in any order."""
     ranked = _ranked_windows(windows, index)
-    found, lists = _candidates(index, ranked)
-    pairs = found.join(lists, "row").join(_small(ranked, BROADCAST_WINDOWS), "wid")
+    found = _near_candidates(index, ranked)
+    pairs = found.join(_lists_of(index, found), "row").join(_small(ranked, BROADCAST_WINDOWS), "wid")
 
     def close(p):
         return F.forall(F.col("lists"), lambda t: F.exists(F.coalesce(F.col("lists_of")[t["h"]], F.array().cast("array<int>")), lambda q: F.abs(q - p) < span))
