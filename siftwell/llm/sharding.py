@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from siftwell import runtime
 
 # Rounds, share by which a shard may be above its quota between rounds, buckets for numbering.
-ROUNDS, SLACK, BUCKETS = 5, 0.05, 256
+ROUNDS, SLACK, BUCKETS = 8, 0.05, 256
 
 
 def copy_links(docs: DataFrame) -> DataFrame:
