@@ -7,6 +7,8 @@ import pytest
 import compare
 from __spark_entry__ import entry, oracle_sql, queries
 from siftwell.operators import dense
+from workload.oracle import SQL
+from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,11 +24,12 @@ def con():
 
 
 def test_every_query_is_accounted_for():
-    assert set(queries()) == set(oracle_sql()) | ROWS_ONLY
-    assert not set(oracle_sql()) & ROWS_ONLY
+    assert set(QUERIES) == set(SQL) | ROWS_ONLY
+    assert not set(SQL) & ROWS_ONLY
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
     columns, rows = compare.rows_of_spark(queries()[name](spark, SF))
     want_columns, want = compare.rows_of_sql(con, oracle_sql()[name])
