@@ -16,6 +16,46 @@ WITH RECURSIVE v AS (
 )
 SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (vec_id)
+""",
+    "op4_kneser_ney": rf"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab
+), d AS (
+  SELECT doc_id, list_append(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+'), ' ') AS ws,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10 = 0 AS held_out
+  FROM documents, crc
+), tok AS MATERIALIZED (
+  SELECT doc_id, held_out, ws[i] AS w, CASE WHEN i = 1 THEN '' ELSE ws[i - 1] END AS v FROM d, unnest(range(1, len(ws) + 1)) AS u(i)
+), one AS MATERIALIZED (SELECT w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY w
+), two AS MATERIALIZED (SELECT v, w, count(*) AS c FROM tok WHERE NOT held_out GROUP BY v, w
+), ctx AS (
+  SELECT v, sum(c) AS t, count(*) FILTER (c = 1) AS a1, count(*) FILTER (c = 2) AS a2, count(*) FILTER (c > 2) AS a3 FROM two GROUP BY v
+), bef AS MATERIALIZED (SELECT w, count(*) AS c FROM two GROUP BY w
+), k2 AS (
+  SELECT count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c = 3) AS n3, count(*) FILTER (c = 4) AS n4 FROM two
+), k1 AS (
+  SELECT count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2, count(*) FILTER (c = 3) AS n3, count(*) FILTER (c = 4) AS n4,
+    count(*) FILTER (c > 2) AS more, sum(c) AS t FROM bef
+), g AS (
+  SELECT (SELECT sum(c) FROM one) AS n, (SELECT count(*) FROM one) AS v, k1.t,
+    1 - 2 * k2.n1 / (k2.n1 + 2 * k2.n2) * k2.n2 / k2.n1 AS d1, 2 - 3 * k2.n1 / (k2.n1 + 2 * k2.n2) * k2.n3 / k2.n2 AS d2,
+    3 - 4 * k2.n1 / (k2.n1 + 2 * k2.n2) * k2.n4 / k2.n3 AS d3,
+    1 - 2 * k1.n1 / (k1.n1 + 2 * k1.n2) * k1.n2 / k1.n1 AS e1, 2 - 3 * k1.n1 / (k1.n1 + 2 * k1.n2) * k1.n3 / k1.n2 AS e2,
+    3 - 4 * k1.n1 / (k1.n1 + 2 * k1.n2) * k1.n4 / k1.n3 AS e3, (e1 * k1.n1 + e2 * k1.n2 + e3 * k1.more) / k1.t AS rest
+  FROM k1, k2
+), p AS (
+  SELECT tok.doc_id, tok.held_out, one.c AS known, g.n, log10((coalesce(one.c, 0) + 0.1::DOUBLE) / (g.n + 0.1::DOUBLE * (g.v + 1))) AS base,
+    greatest(coalesce(bef.c, 0) - CASE coalesce(bef.c, 0) WHEN 0 THEN 0 WHEN 1 THEN e1 WHEN 2 THEN e2 ELSE e3 END, 0) / g.t + rest / (g.v + 1) AS p1,
+    CASE WHEN ctx.t IS NULL THEN 1 ELSE (d1 * a1 + d2 * a2 + d3 * a3) / ctx.t END AS gamma,
+    CASE WHEN ctx.t IS NULL THEN 0 ELSE greatest(coalesce(two.c, 0) - CASE coalesce(two.c, 0) WHEN 0 THEN 0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) / ctx.t END AS direct
+  FROM tok CROSS JOIN g LEFT JOIN one ON one.w = tok.w LEFT JOIN bef ON bef.w = tok.w LEFT JOIN ctx ON ctx.v = tok.v
+  LEFT JOIN two ON two.v = tok.v AND two.w = tok.w
+)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(known) AS n_known, any_value(n)::BIGINT AS train_tokens,
+  round(sum(base), 6) AS base_score, round(sum(log10(direct + gamma * p1)), 6) AS score
+FROM p GROUP BY doc_id, held_out
 """,
     "op5_benchmark_postings": rf"""
 WITH iw AS (

@@ -44,7 +44,8 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = training.held_out("doc_id", 10, 0)
     model = kneser_ney.fit_model(docs.filter(~held))
     return kneser_ney.score_texts(docs, model).select(
-        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
 
 
 @query
