@@ -5,7 +5,7 @@ on a hash of their id, which is balanced. In each round a linked document wants
 label with the greatest weight among its neighbours, by one join of the links with
 the labels and one aggregation. A table of shards by shards counts who
 wants to move where; moves are granted up to the room the target has, with what
-leaves it, by a hash of the document, so every round keeps sizes within the slack.
+leaves it, by a hash of the document, so every round keeps the linked rows of a shard within its quota.
 At the end the surplus of shards above their quota, documents without links first,
 goes to the shards below, and no two shards differ by more than one row.
 
@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 
 from siftwell import runtime
 
-# Rounds, share by which a shard may be above its quota between rounds, buckets for numbering.
-ROUNDS, SLACK, BUCKETS = 8, 0.05, 256
+# Rounds, share by which a shard may be above its quota between rounds, buckets for numbering, rows of a large group.
+ROUNDS, SLACK, BUCKETS, LARGE = 8, 0.05, 256, 1000
 
 
 def copy_links(docs: DataFrame) -> DataFrame:
@@ -95,14 +95,14 @@ def balance_shards(vertices: DataFrame, links: DataFrame, shards: int, rounds: i
     links = runtime.write_scratch(links.select("src", "dst", "weight"), "links")
     linked = links.select(F.col("src").alias("node")).union(links.select(F.col("dst").alias("node"))).distinct()
     labels = runtime.write_scratch(linked.withColumn("label", label("node")), "labels")
-    alone = {r["label"]: r["n"] for r in vertices.join(labels, "node", "left_anti").groupBy(label("node").alias("label")).agg(F.count("*").alias("n")).collect()}
+    # Rows without links make room at the end, so a shard may fill up with linked rows.
+    quota = max(n / shards, labels.count() / shards * (1 + SLACK))
     for turn in range(rounds):
-        sizes = dict(alone)
-        for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect():
-            sizes[r["label"]] = sizes.get(r["label"], 0) + r["n"]
+        sizes = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
         wanted = runtime.write_scratch(_chosen(labels, links), "wanted")
-        even = n / shards
-        moved = _granted(wanted, sizes, even * (1 + SLACK) + 2 * even**0.5, turn)
+        if not wanted.filter("label <> want").limit(1).count():
+            break
+        moved = _granted(wanted, sizes, quota, turn)
         # Vertices nobody points to keep their label.
         rest = labels.join(wanted, "node", "left_anti")
         labels = runtime.write_scratch(moved.union(rest.select("node", "label")), "labels")
@@ -147,7 +147,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> D
     )
     facts = runtime.write_scratch(facts.withColumn("node", F.monotonically_increasing_id()), "facts")
     links = copy_links(facts.filter("key is not null").select("node", "key"))
-    vertices = facts.select("node", F.coalesce("key.a", "node").alias("order_key"))
+    # Small groups stay together where a surplus is cut; a large one is numbered by row, in many tasks.
+    large = runtime.write_scratch(facts.filter("key is not null").groupBy("key").count().filter(F.col("count") > LARGE).select("key"), "large")
+    marked = facts.join(large.withColumn("is_large", F.lit(True)), "key", "left")
+    vertices = marked.select("node", F.when(F.col("key").isNull() | F.col("is_large"), F.col("node")).otherwise(F.col("key.a")).alias("order_key"))
     placed = balance_shards(vertices, links, shards, rounds)
     return facts.join(placed, "node").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
