@@ -27,6 +27,8 @@ from siftwell.llm.components import connected_components
 TREES, OVERLAP, LEAF, BLOCK = 6, 0.02, 256, 2048
 #: Vectors that the splits are fitted on, and of them in a leaf, at least.
 SAMPLE, LEAST = 20_000, 8
+#: Components of vectors that are sent down the trees at a time.
+NUMBERS = 1 << 19
 
 
 @dataclass
@@ -83,9 +85,13 @@ def _index(shared):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, leaf = shared.value.leaves(_units(batch.column("embedding")))
-            order = np.lexsort((leaf, row))
-            row, leaf = row[order], leaf[order]
+            x, found = _units(batch.column("embedding")), []
+            step = max(1, NUMBERS // x.shape[1])
+            for lo in range(0, len(x), step):
+                row, leaf = shared.value.leaves(x[lo : lo + step])
+                order = np.lexsort((leaf, row))
+                found.append((row[order] + lo, leaf[order]))
+            row, leaf = (np.concatenate(c) for c in zip(*found))
             first = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([
                 batch.column("node"), batch.column("copies"), batch.column("embedding"), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(leaf, pa.int64())),
