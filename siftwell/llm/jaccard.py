@@ -39,6 +39,7 @@ from siftwell.llm.components import connected_components
 ORDER_SEEDS = (0x51ED270B7F4A7C15, 0x2545F4914F6CDD1D)
 # Fixed value: rounds with centres before the exact round.
 CENTRE_ROUNDS = 2
+FLUSH_TOKENS = 1 << 21
 
 
 def _least_shared(n, percent: int):
@@ -93,27 +94,34 @@ def _dealt(key: np.ndarray, parts: int):
 
 
 def _token_blocks(docs: DataFrame, width: int, parts: int) -> DataFrame:
-    """(part, block): the shingles of each batch by hash range, with 48 bits each."""
+    """(part, block): shingles by hash range, with 48 bits each; a task packs about FLUSH_TOKENS at a time."""
+
+    def flush(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        names, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(x) for x in sets.values()])
+        tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), sizes)
+        found, blocks = [], []
+        for p, own in _dealt(((tokens >> np.uint64(48)) % np.uint64(parts)).astype(np.int64), parts):
+            low = tokens[own]
+            found.append(p)
+            blocks.append(_pack(names, sizes, owner[own], low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16)))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
     def run(batches):
+        sets: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
-            sets: dict[int, np.ndarray] = {}
             for _, _, offsets, data in ar.text_slices(batch.column(0)):
                 h, _, _, at = ar.words(ar.LOWER[data], offsets)
                 for i in range(len(offsets) - 1):
                     own = h[at[i] : at[i + 1]]
                     if len(own) and (key := ar.content_key(own)) not in sets:
                         sets[key] = ar.shingles(own, width)
-            if not sets:
-                continue
-            names, sizes = np.fromiter(sets, np.int64, len(sets)), np.array([len(x) for x in sets.values()])
-            tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), sizes)
-            found, blocks = [], []
-            for p, own in _dealt(((tokens >> np.uint64(48)) % np.uint64(parts)).astype(np.int64), parts):
-                low = tokens[own]
-                found.append(p)
-                blocks.append(_pack(names, sizes, owner[own], low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16)))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+                        held += len(sets[key])
+                if held >= FLUSH_TOKENS:
+                    yield flush(sets)
+                    sets, held = {}, 0
+        if sets:
+            yield flush(sets)
 
     return docs.select("text").mapInArrow(run, "part int, block binary")
 
@@ -219,7 +227,8 @@ def _with_centre(placed: DataFrame, turn: int, percent: int) -> DataFrame:
     rank = F.xxhash64("cls", F.lit(turn))
     typical = F.struct("typical", "cls") if turn == 0 else F.xxhash64("cls", F.lit(-turn))
     centre = placed.groupBy("t").agg(F.array(F.min_by(fields, rank), F.max_by(fields, typical)).alias("cs"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    centre = centre.filter("lo <> hi").select("t", F.explode("cs").alias("c"))
+    # Written, so that the join can split a token that a large share of all classes has.
+    centre = runtime.write_scratch(centre.filter("lo <> hi").select("t", F.explode("cs").alias("c")), "centres")
     pairs = placed.join(centre, "t")
     pairs = pairs.filter(F.expr(f"comp <> c.comp and 100 * least(n, c.n) >= {percent} * greatest(n, c.n)"))
     return pairs.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()
@@ -261,12 +270,16 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
             spanning = spanning.union(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))
         joined = connected_components(spanning)
     placed = runtime.write_scratch(_placed(postings, joined), "postings")
-    mixed = placed.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("t")
-    left = placed.join(mixed, "t")
-    right = left.select("t", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
+    # Of each token, the members of its largest component meet the others but not each other.
+    sizes = placed.groupBy("t", "comp").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("t").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count("*").alias("parts"))
+    mixed = runtime.write_scratch(mixed.filter("parts > 1").select("t", "major"), "mixed")
+    minor = runtime.write_scratch(placed.join(mixed, "t").filter("comp <> major").select("t", "cls", "n", "pos", "comp"), "minor")
+    other = placed.select("t", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("comp").alias("comp2"))
     # The first common token of two similar sets has enough tokens behind it in both.
-    pairs = left.join(right, "t").filter(F.expr(
-        f"comp < comp2 and {100 + percent} * least(n - pos, n2 - pos2) >= {percent} * (n + n2)"))
+    pairs = minor.join(other, "t").filter(F.expr(
+        f"comp <> comp2 and {100 + percent} * least(n - pos, n2 - pos2) >= {percent} * (n + n2)"))
+    pairs = pairs.select(F.least("cls", "cls2").alias("cls"), F.greatest("cls", "cls2").alias("cls2"))
     pairs = runtime.write_scratch(pairs.select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct(), "pairs")
     found = runtime.write_scratch(_verified(pairs, classes, percent), "links")
     # The components so far already span their own links.
