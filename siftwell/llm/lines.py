@@ -27,6 +27,8 @@ from siftwell.llm import arrays as ar
 
 #: Words of a line that can lead to a pair, and words of a block that is deleted, at least.
 LINE_WORDS, BLOCK_WORDS = 4, 20
+#: Rows of a batch while texts are rewritten, at most.
+BATCH_ROWS = 2000
 #: Bytes that end a sentence where a blank follows.
 STOP = np.zeros(256, bool)
 STOP[[33, 46, 63]] = True
@@ -147,16 +149,19 @@ def _align(least: int):
 
 def common_blocks(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, fp, cuts): for each later document the lines to delete, as pairs of first and end."""
-    s = runtime.write_scratch(sequences(docs), "lines")
+    # Both sides of the joins below are written tables, so that a line or a first document with
+    # a large share of all rows is split over tasks.
+    s = runtime.write_scratch(sequences(docs).dropDuplicates(["doc_id", "fp"]), "lines")
     lines_of = s.select("doc_id", "fp", F.explode(F.arrays_zip("hashes", "words")).alias("l"))
     lines_of = lines_of.select("doc_id", "fp", F.col("l.hashes").alias("h"), F.col("l.words").alias("n")).filter(F.col("n") >= line_words)
     holders = lines_of.groupBy("h").agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.count("*").alias("k")).filter("k > 1")
+    holders = runtime.write_scratch(holders.select("h", "first"), "holders")
     pairs = lines_of.join(holders, "h").filter("doc_id <> first.doc_id")
     pairs = pairs.groupBy("doc_id", "fp", "first").agg(F.sum("n").alias("shared")).filter(F.col("shared") >= block_words)
     pairs = pairs.select("doc_id", "fp", F.col("first.doc_id").alias("b_id"), F.col("first.fp").alias("b_fp"))
-    held = s.select(F.col("doc_id").alias("b_id"), F.col("fp").alias("b_fp"), F.col("hashes").alias("other")).dropDuplicates(["b_id", "b_fp"])
+    held = s.select(F.col("doc_id").alias("b_id"), F.col("fp").alias("b_fp"), F.col("hashes").alias("other"))
     both = pairs.join(held, ["b_id", "b_fp"]).select("doc_id", "fp", "other")
-    both = both.join(s.dropDuplicates(["doc_id", "fp"]), ["doc_id", "fp"])
+    both = both.join(s, ["doc_id", "fp"])
     cuts = both.select("doc_id", "fp", "hashes", "words", "other").mapInArrow(_align(block_words), "doc_id long, fp long, cuts array<int>").filter("size(cuts) > 0")
     return runtime.write_scratch(cuts.groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "cuts")
 
@@ -217,11 +222,15 @@ def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int
     if size <= runtime.BROADCAST_BYTES // 2:
         side = F.broadcast(side)
 
-    @arrow_udf("text string, n_lines long, n_removed long, removed_words long")
     def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, found in batches:
             yield _apply(texts, found)
 
+    # Texts go to Python and come back; a batch of the default 10,000 rows would hold them many times over.
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs.sparkSession.conf.set(rows, str(min(BATCH_ROWS, int(docs.sparkSession.conf.get(rows)))))
+    # Not deterministic in name only: a filter on the result must not evaluate it a second time.
+    apply = arrow_udf(apply, "text string, n_lines long, n_removed long, removed_words long").asNondeterministic()
     on = (docs["doc_id"].cast("long") == side["_id"]) & (F.xxhash64(docs["text"]) == side["_fp"])
     joined = docs.join(side, on, "left")
     return joined.select(*[docs[c] for c in docs.columns if c != into], apply(docs["text"], side["_cuts"]).alias(into))
