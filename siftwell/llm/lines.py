@@ -228,7 +228,8 @@ def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int
 
     # Texts go to Python and come back; a batch of the default 10,000 rows would hold them many times over.
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    docs.sparkSession.conf.set(rows, str(min(BATCH_ROWS, int(docs.sparkSession.conf.get(rows)))))
+    now = int(docs.sparkSession.conf.get(rows))
+    docs.sparkSession.conf.set(rows, str(now if 0 < now < BATCH_ROWS else BATCH_ROWS))
     # Not deterministic in name only: a filter on the result must not evaluate it a second time.
     apply = arrow_udf(apply, "text string, n_lines long, n_removed long, removed_words long").asNondeterministic()
     on = (docs["doc_id"].cast("long") == side["_id"]) & (F.xxhash64(docs["text"]) == side["_fp"])
