@@ -131,10 +131,10 @@ def _count_words(parts: int):
 
 
 def _sum_words(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One block of word counts (kind 0) and one of the heaviest (kind 1)."""
+    """One block of word counts (kind 0) and one of the heaviest, the sum and the number of ends (kind 1)."""
     words, counts = _summed(*_gathered(table.column("block"), U64, np.uint32))
     top = np.argsort(-counts, kind="stable")[:HEAVIEST]
-    rows = [(key[0].as_py(), 0, _packed(words, counts)), (key[0].as_py(), 1, _packed(np.append(words[top], U64(0)), np.append(counts[top], counts.sum())))]
+    rows = [(key[0].as_py(), 0, _packed(words, counts)), (key[0].as_py(), 1, _packed(np.append(words[top], [U64(0), END]), np.append(counts[top], [counts.sum(), counts[words == END].sum()])))]
     return pa.Table.from_batches([_record(rows)])
 
 
@@ -319,9 +319,9 @@ def fit_model(docs: DataFrame) -> LanguageScorer:
     heavy, n_tokens, n_texts = [], 0, 0
     for r in words.filter("kind = 1").select("block").collect():  # at most HEAVIEST words of each part
         w, c = _unpacked(bytes(r["block"]), U64, np.int64)
-        n_tokens += int(c[-1])
-        n_texts += int(c[:-1][w[:-1] == END].sum())
-        heavy.append((w[:-1], c[:-1]))
+        n_tokens += int(c[-2])
+        n_texts += int(c[-1])
+        heavy.append((w[:-2], c[:-2]))
     names, counts = (np.concatenate(x) for x in zip(*heavy)) if heavy else (np.zeros(0, U64), np.zeros(0))
     names = np.append(names[counts * 4 * parts > n_tokens], START)
     model = LanguageScorer(folder, parts, names, n_tokens, n_texts, 0, 0)

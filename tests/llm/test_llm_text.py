@@ -123,6 +123,14 @@ def test_language_model_as_the_formulas(spark):
     assert sum(got[i]["score"] for i in got) > sum(got[i]["base_score"] for i in got)
 
 
+def test_language_model_of_few_long_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(9000))) for i in range(3)]
+    _, got = scored(spark, data.documents(spark, rows))
+    for i, (_, _, _, base, score) in data.kneser_ney(rows).items():
+        assert got[i]["base_score"] == pytest.approx(base, rel=1e-9) and got[i]["score"] == pytest.approx(score, rel=1e-9)
+
+
 def test_language_model_edge_cases(spark):
     _, got = scored(spark, data.documents(spark, data.EDGE, clash=True))
     assert got[1]["n_tokens"] == got[2]["n_tokens"] == 1 and got[7]["n_tokens"] == 30001
