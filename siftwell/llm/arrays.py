@@ -7,7 +7,9 @@ does not depend on the batch; a longer text is a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,39 @@ BLANK[[32, 9, 10, 11, 12, 13]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give memory that is free again back to the system, which allocators else keep for a worker's next task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of an iterator of batches that releases memory when its task ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def tidy_group(run: Callable) -> Callable:
+    """The same for a function of one group's key and table."""
+
+    def wrapped(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        try:
+            return run(key, table)
+        finally:
+            release()
+
+    return wrapped
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the powers 0 to n-1 and their inverses, modulo 2**64."""
     if len(_powers.get("up", ())) < n:

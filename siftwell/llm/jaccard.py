@@ -39,7 +39,7 @@ from siftwell.llm.components import connected_components
 ORDER_SEEDS = (0x51ED270B7F4A7C15, 0x2545F4914F6CDD1D)
 # Fixed value: rounds with centres before the exact round.
 CENTRE_ROUNDS = 2
-FLUSH_TOKENS = 1 << 21
+FLUSH_TOKENS = 1 << 20
 
 
 def _least_shared(n, percent: int):
@@ -62,7 +62,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
                     sizes.append(len(ar.shingles(own, width)))
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "cls", "n_shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, cls long, n_shingles long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(ar.tidy(run), "doc_id long, cls long, n_shingles long")
 
 
 def _pack(names: np.ndarray, sizes: np.ndarray, owner: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -123,7 +123,7 @@ def _token_blocks(docs: DataFrame, width: int, parts: int) -> DataFrame:
         if sets:
             yield flush(sets)
 
-    return docs.select("text").mapInArrow(run, "part int, block binary")
+    return docs.select("text").mapInArrow(ar.tidy(run), "part int, block binary")
 
 
 def _joined_blocks(table: pa.Table, *kinds: type) -> list[np.ndarray]:
@@ -166,7 +166,7 @@ def _shared_tokens(parts: int):
 def _classes(percent: int):
     """Of the classes of one part, those with enough shared tokens: sorted tokens and the prefixes in three orders."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         owner, size, tokens, df = _joined_blocks(table, np.int64, np.uint32)
         order = np.argsort(owner, kind="stable")
         names, first = np.unique(owner[order], return_index=True)
@@ -252,9 +252,9 @@ def jaccard_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
     documents = runtime.write_scratch(profiles(docs, width), "profiles")
     splits = docs.rdd.getNumPartitions()
     parts = min(65536, max(int(spark.conf.get("spark.sql.shuffle.partitions")), splits))
-    blocks = _token_blocks(docs, width, parts).groupBy("part").applyInArrow(_shared_tokens(parts), "part int, block binary")
+    blocks = _token_blocks(docs, width, parts).groupBy("part").applyInArrow(ar.tidy_group(_shared_tokens(parts)), "part int, block binary")
     kinds = "cls long, n long, typical double, tokens array<long>, p1 array<long>, p2 array<long>, p3 array<long>"
-    classes = runtime.write_scratch(blocks.groupBy("part").applyInArrow(_classes(percent), kinds), "classes")
+    classes = runtime.write_scratch(blocks.groupBy("part").applyInArrow(ar.tidy_group(_classes(percent)), kinds), "classes")
 
     postings = runtime.write_scratch(classes.select(
         "cls", "n", "typical", F.posexplode("p1").alias("i", "t"), (F.col("n") - F.size("tokens")).alias("lone")

@@ -70,7 +70,7 @@ def sequences(docs: DataFrame) -> DataFrame:
             ], ["doc_id", "fp", "hashes", "words"])
 
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
-    return rows.mapInArrow(run, "doc_id long, fp long, hashes array<long>, words array<int>").filter("size(hashes) > 0")
+    return rows.mapInArrow(ar.tidy(run), "doc_id long, fp long, hashes array<long>, words array<int>").filter("size(hashes) > 0")
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -162,7 +162,7 @@ def common_blocks(docs: DataFrame, line_words: int = LINE_WORDS, block_words: in
     held = s.select(F.col("doc_id").alias("b_id"), F.col("fp").alias("b_fp"), F.col("hashes").alias("other"))
     both = pairs.join(held, ["b_id", "b_fp"]).select("doc_id", "fp", "other")
     both = both.join(s, ["doc_id", "fp"])
-    cuts = both.select("doc_id", "fp", "hashes", "words", "other").mapInArrow(_align(block_words), "doc_id long, fp long, cuts array<int>").filter("size(cuts) > 0")
+    cuts = both.select("doc_id", "fp", "hashes", "words", "other").mapInArrow(ar.tidy(_align(block_words)), "doc_id long, fp long, cuts array<int>").filter("size(cuts) > 0")
     return runtime.write_scratch(cuts.groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "cuts")
 
 
@@ -231,7 +231,7 @@ def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int
     now = int(docs.sparkSession.conf.get(rows))
     docs.sparkSession.conf.set(rows, str(now if 0 < now < BATCH_ROWS else BATCH_ROWS))
     # Not deterministic in name only: a filter on the result must not evaluate it a second time.
-    apply = arrow_udf(apply, "text string, n_lines long, n_removed long, removed_words long").asNondeterministic()
+    apply = arrow_udf(ar.tidy(apply), "text string, n_lines long, n_removed long, removed_words long").asNondeterministic()
     on = (docs["doc_id"].cast("long") == side["_id"]) & (F.xxhash64(docs["text"]) == side["_fp"])
     joined = docs.join(side, on, "left")
     return joined.select(*[docs[c] for c in docs.columns if c != into], apply(docs["text"], side["_cuts"]).alias(into))

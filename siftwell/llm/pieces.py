@@ -35,7 +35,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed values of the format: the mark of a space, types of pieces, types of models.
 SPACE, NORMAL, UNKNOWN, BYTE, USER, UNIGRAM, BPE = 0x2581, 1, 2, 6, 4, 1, 2
 #: Cells of a score table at a time; characters above which a word is merged with a queue; bytes of a slice.
-CELLS, LONG, SLICE = 1 << 20, 96, 1 << 21
+CELLS, LONG, SLICE = 1 << 19, 96, 1 << 20
 U64 = np.uint64
 NONE = np.float32(-np.inf)
 
@@ -301,6 +301,7 @@ def encoder(docs: DataFrame, model: PieceModel):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("array<int>")
+    @ar.tidy
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             parts = []
@@ -319,6 +320,7 @@ def decoder(docs: DataFrame, model: PieceModel):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("string")
+    @ar.tidy
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
             out: list = []
@@ -340,6 +342,7 @@ def digest(docs: DataFrame, model: PieceModel) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    @ar.tidy
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for texts in batches:

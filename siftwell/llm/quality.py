@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from siftwell import runtime
+from siftwell.llm import arrays as ar
 from siftwell.llm import training
 
 # Bytes of a piece and of a dictionary, compression level, pieces that a dictionary is built from at most.
@@ -94,6 +95,7 @@ def score_quality(docs: DataFrame, model: QualityModel, into: str = "quality_sco
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_udf("double")
+    @ar.tidy
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tools = shared.value.compressors()
         for texts in batches:
