@@ -29,33 +29,35 @@ from siftwell.llm import training
 WINDOW, STRIDE = 32, 24
 WORD, CHAR, STATE, ATTEND, PAIRS, VOCABULARY = 8, 6, 8, 8, 4096, 20000
 BATCH = 512
+#: Bytes of a labelled text that the network is fitted on, at most.
+SAMPLE_BYTES = 1 << 12
 U64 = np.uint64
 #: Characters of a word that are letters; a word is blank-separated and trimmed of ASCII punctuation.
 EDGE = np.zeros(256, bool)
 EDGE[list(range(33, 48)) + list(range(58, 65)) + list(range(91, 97)) + list(range(123, 127))] = True
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vocabulary hash, sums over character pairs as (pair ids, word of each), bounds by row) of the words of rows."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(vocabulary hashes, (character pairs, first pair of each word), bounds by row) of the words of rows."""
     data = ar.LOWER[data]
     starts, ends = ar.spans(~(ar.BLANK | EDGE)[data], offsets)
-    return ar.span_hashes(data, starts, ends), (data, starts, ends), np.searchsorted(starts, offsets)
+    return ar.span_hashes(data, starts, ends), char_pairs(data, starts, ends), np.searchsorted(starts, offsets)
 
 
-def char_sums(table: np.ndarray, spot: tuple) -> np.ndarray:
-    """Sum of the embeddings of the pairs of neighbouring bytes of each word, ends included."""
-    data, starts, ends = spot
-    if not len(starts):
-        return np.zeros((0, table.shape[1]), np.float32)
+def char_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the pairs of neighbouring bytes of each word, ends included, and where each word's begin."""
     length = ends - starts + 1
-    word = np.repeat(np.arange(len(starts)), length)
     begin = np.cumsum(length) - length
-    at = np.arange(len(word)) - begin[word] + starts[word]
-    padded = np.append(data, np.uint8(32)).astype(np.int64)
+    at = np.arange(length.sum()) + np.repeat(starts - begin, length)
+    padded = np.append(data, np.uint8(32)).astype(np.int32)
     left, right = padded[at - 1], padded[at]
     left[begin], right[begin + length - 1] = 0, 0
-    ids = (left * 167 + right * 13) % PAIRS
-    return np.add.reduceat(table.take(ids, axis=0), begin, axis=0), ids, begin
+    return ((left * 167 + right * 13) % PAIRS).astype(np.uint16), begin
+
+
+def char_sums(table: np.ndarray, pairs: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sum of the embeddings of the pairs of each word."""
+    return np.add.reduceat(table.take(pairs, axis=0), begin, axis=0) if len(begin) else np.zeros((0, table.shape[1]), np.float32)
 
 
 def window_index(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +125,7 @@ class ToxicityModel:
     def logits(self, hashes: np.ndarray, spot: tuple, index: np.ndarray) -> np.ndarray:
         """One logit for each window."""
         p = self.p
-        chars = char_sums(p["chars"], spot)[0]
+        chars = char_sums(p["chars"], *spot)
         inputs = np.hstack([p["words"].take(self.word_ids(hashes), axis=0), chars])
         sides = [np.vstack([inputs @ p["x" + d] + p["b" + d], np.zeros((1, 3 * STATE), np.float32)]) for d in "fb"]
         out = np.empty(len(index))
@@ -171,26 +173,47 @@ def _blank_model(vocabulary: np.ndarray, rng) -> ToxicityModel:
     return ToxicityModel(vocabulary, p, np.array([1.0, 0.0, 0.0]))
 
 
+def _sample_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, character pairs, first pair by word, bounds by text) of a sample, read in slices."""
+    hashes, pairs, begins, sizes, at = [], [], [], [], 0
+    for _, _, offsets, data in ar.text_slices(pa.array([t.decode(errors="replace") for t in texts])):
+        h, (own, begin), bounds = words_of(data, offsets)
+        hashes.append(h)
+        pairs.append(own)
+        begins.append(begin + at)
+        sizes.append(np.diff(bounds))
+        at += len(own)
+    return np.concatenate(hashes), np.concatenate(pairs), np.concatenate(begins), np.append(0, np.cumsum(np.concatenate(sizes)))
+
+
+def _logits_of(model: ToxicityModel, hashes: np.ndarray, pairs: np.ndarray, begin: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Logits of some windows of a sample, from the words that they span."""
+    lo, hi = int(index[index >= 0].min()), int(index.max()) + 1
+    first = begin[lo:hi]
+    own = pairs[first[0] : begin[hi] if hi < len(begin) else len(pairs)]
+    return model.logits(hashes[lo:hi], (own, first - first[0]), np.where(index >= 0, index - lo, -1))
+
+
 def fit_toxicity(sample: list[tuple[bytes, int]], epochs: int = 4, per_text: int = 8, batch: int = 128, rate: float = 0.01) -> ToxicityModel:
     """Train on windows of four fifths of the sample, calibrate on the rest.
 
     A window takes its text's label; in a toxic text only the more toxic half of
     the windows is taken once the first epoch is over, since the rest may be clean.
-    With one class only, the score is the share of toxic rows for every text.
+    With one class only, or no words, the score is the share of toxic rows for every text.
     """
     rng = np.random.default_rng(0)
     learn, rest = [s for i, s in enumerate(sample) if i % 5], sample[::5]
     y = np.array([int(v == 1) for _, v in learn], float)
-    if not len(y) or y.min() == y.max():
+    hashes, pairs, begin, bounds = _sample_words([t for t, _ in learn] or [b""])
+    if not len(hashes) or y.min() == y.max():
         model = _blank_model(np.zeros(0, U64), rng)
         share = (sum(v == 1 for _, v in sample) + 0.5) / (len(sample) + 1)
         model.calibration = np.array([0.0, 0.0, np.log(share / (1 - share))])
         return model
-    offsets = np.append(0, np.cumsum([len(t) for t, _ in learn]))
-    data = np.frombuffer(b"".join(t for t, _ in learn), np.uint8)
-    hashes, spot, bounds = words_of(data, offsets)
-    texts_of = np.unique(np.stack([hashes, np.repeat(np.arange(len(learn)), np.diff(bounds)).astype(U64)]), axis=1)[0]
-    names, counts = np.unique(texts_of, return_counts=True)
+    owner = np.repeat(np.arange(len(learn)), np.diff(bounds))
+    order = np.lexsort((owner, hashes))
+    new = np.append(True, (np.diff(hashes[order]) != 0) | (np.diff(owner[order]) != 0))
+    names, counts = np.unique(hashes[order][new], return_counts=True)  # in how many texts
     names, counts = names[counts > 2], counts[counts > 2]
     model = _blank_model(np.sort(names[np.argsort(-counts, kind="stable")[:VOCABULARY]]), rng)
     p, ids = model.p, model.word_ids(hashes)
@@ -198,14 +221,13 @@ def fit_toxicity(sample: list[tuple[bytes, int]], epochs: int = 4, per_text: int
     chosen = np.argsort(row + rng.random(len(row)), kind="stable")
     nth = np.arange(len(row)) - np.searchsorted(row, row)
     chosen = np.sort(chosen[nth < per_text])
-    _, pairs, begin = char_sums(p["chars"], spot)
     length = np.diff(np.append(begin, len(pairs)))
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     step, weight = 0, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     for epoch in range(epochs):
         if epoch:
             small = ToxicityModel(model.vocabulary, {k: a.astype(np.float32) for k, a in p.items()}, model.calibration)
-            z = small.logits(hashes, spot, index[chosen])
+            z = np.concatenate([_logits_of(small, hashes, pairs, begin, index[chosen[lo : lo + 4096]]) for lo in range(0, len(chosen), 4096)])
             order = np.lexsort((-z, row[chosen]))
             place = np.arange(len(chosen)) - np.searchsorted(row[chosen], row[chosen])
             size = np.bincount(row[chosen], minlength=len(y))[row[chosen]]
@@ -275,10 +297,10 @@ def fit_toxicity(sample: list[tuple[bytes, int]], epochs: int = 4, per_text: int
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = training.SAMPLE_ROWS) -> ToxicityModel:
-    """A model fitted on at most ``rows`` labelled documents whose crc32(doc_id) mod 5 is not 0."""
+    """A model fitted on at most ``rows`` labelled documents, 4 KiB of each, whose crc32(doc_id) mod 5 is not 0."""
     runtime.ship_package(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").alias("label"))
-    return fit_toxicity(training.labelled_sample(docs, known, ~training.held_out("doc_id", 5, 0), rows))
+    return fit_toxicity(training.labelled_sample(docs, known, ~training.held_out("doc_id", 5, 0), rows, SAMPLE_BYTES))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, into: str = "toxicity") -> DataFrame:
