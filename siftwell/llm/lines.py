@@ -1,13 +1,14 @@
 """Line dedup by alignment: common blocks of overlapping documents go from the later one.
 
 A line is what line breaks and sentence ends delimit, compared by its words
-without regard to case or spacing. Each line of enough words points from every
-document that has it to the first one (by doc_id) that has it: one pair for each
-line and document, however many documents share the line. A pair whose shared
-lines, each rare in that it leads to this one holder, have enough words is aligned by
-patience diff: lines that are unique in both texts are anchors, the longest
+without regard to case or spacing. A run is the shortest sequence of consecutive lines
+of enough words from one line on, forwards or backwards: every line of a common block is
+in a run inside the block. Each run points from every document that has it to the first
+one (by doc_id) that has it, so every common block has a partner for each of its runs, at
+one pair for each run and document at most, however many documents share the run. A pair
+is aligned by patience diff: lines that are unique in both texts are anchors, the longest
 increasing run of anchors is kept, matches grow from them, and the gaps are
-searched again. Aligned runs of enough words are deleted from the later document.
+searched again. Aligned blocks of enough words are deleted from the later document.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql.functions import arrow_udf
 from siftwell import runtime
 from siftwell.llm import arrays as ar
 
-#: Words of a line that can lead to a pair, and words of a block that is deleted, at least.
-LINE_WORDS, BLOCK_WORDS = 4, 20
+#: Words of a block that is deleted, at least.
+BLOCK_WORDS = 20
 #: Rows of a batch while texts are rewritten, at most.
 BATCH_ROWS = 2000
 #: Bytes that end a sentence where a blank follows.
@@ -55,22 +56,44 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return total, count, starts[first], ends[first + count - 1], np.searchsorted(first, bounds)
 
 
-def sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, hashes, words) for every row with a doc_id and a line; fp tells rows with one doc_id apart."""
+def runs(hashes: np.ndarray, count: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first line, end line) of the shortest runs of ``least`` words from each line, forwards and backwards, inside its row."""
+    total = np.append(0, np.cumsum(count, dtype=np.int64))
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    at = np.arange(len(hashes))
+    end = np.searchsorted(total, total[:-1] + least)
+    ahead = end <= bounds[1:][row]
+    first = np.searchsorted(total, total[1:] - least, side="right") - 1
+    back = first >= bounds[:-1][row]
+    back[back] = end[first[back]] != at[back] + 1  # else the same run as forwards
+    first, end = np.concatenate([at[ahead], first[back]]), np.concatenate([end[ahead], at[back] + 1])
+    up, down = ar.powers(len(hashes) + 1)
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64))
+    return ar.mix((sums[end] - sums[first]) * down[first] ^ ar.mix((end - first).astype(np.uint64))), first, end
+
+
+def sequences(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, fp, hashes, words, runs) for every row with a doc_id and a line; fp tells rows with one doc_id apart.
+
+    runs has the distinct keys of the row's runs of ``least`` words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for _, _, offsets, data in ar.text_slices(batch.column(2)):
                 h, count, _, _, at = lines(data, offsets)
-                found += [(h[a:b].view(np.int64), count[a:b].astype(np.int32)) for a, b in zip(at[:-1], at[1:])]
+                key, first, _ = runs(h, count, at, least)
+                key = key[np.argsort(first, kind="stable")].view(np.int64)
+                of = np.searchsorted(np.sort(first), at)
+                found += [(h[a:b].view(np.int64), count[a:b].astype(np.int32), np.unique(key[c:d])) for a, b, c, d in zip(at[:-1], at[1:], of[:-1], of[1:])]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1),
-                pa.array([h for h, _ in found], pa.list_(pa.int64())), pa.array([c for _, c in found], pa.list_(pa.int32())),
-            ], ["doc_id", "fp", "hashes", "words"])
+                batch.column(0), batch.column(1), pa.array([h for h, _, _ in found], pa.list_(pa.int64())),
+                pa.array([c for _, c, _ in found], pa.list_(pa.int32())), pa.array([r for _, _, r in found], pa.list_(pa.int64())),
+            ], ["doc_id", "fp", "hashes", "words", "runs"])
 
     rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
-    return rows.mapInArrow(ar.tidy(run), "doc_id long, fp long, hashes array<long>, words array<int>").filter("size(hashes) > 0")
+    return rows.mapInArrow(ar.tidy(run), "doc_id long, fp long, hashes array<long>, words array<int>, runs array<long>").filter("size(hashes) > 0")
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -147,17 +170,15 @@ def _align(least: int):
     return run
 
 
-def common_blocks(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def common_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, fp, cuts): for each later document the lines to delete, as pairs of first and end."""
-    # Both sides of the joins below are written tables, so that a line or a first document with
+    # Both sides of the joins below are written tables, so that a run or a first document with
     # a large share of all rows is split over tasks.
-    s = runtime.write_scratch(sequences(docs).dropDuplicates(["doc_id", "fp"]), "lines")
-    lines_of = s.select("doc_id", "fp", F.explode(F.arrays_zip("hashes", "words")).alias("l"))
-    lines_of = lines_of.select("doc_id", "fp", F.col("l.hashes").alias("h"), F.col("l.words").alias("n")).filter(F.col("n") >= line_words)
-    holders = lines_of.groupBy("h").agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.count("*").alias("k")).filter("k > 1")
+    s = runtime.write_scratch(sequences(docs, block_words).dropDuplicates(["doc_id", "fp"]), "lines")
+    runs_of = s.select("doc_id", "fp", F.explode("runs").alias("h"))
+    holders = runs_of.groupBy("h").agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.count("*").alias("k")).filter("k > 1")
     holders = runtime.write_scratch(holders.select("h", "first"), "holders")
-    pairs = lines_of.join(holders, "h").filter("doc_id <> first.doc_id")
-    pairs = pairs.groupBy("doc_id", "fp", "first").agg(F.sum("n").alias("shared")).filter(F.col("shared") >= block_words)
+    pairs = runs_of.join(holders, "h").filter("doc_id <> first.doc_id").select("doc_id", "fp", "first").distinct()
     pairs = pairs.select("doc_id", "fp", F.col("first.doc_id").alias("b_id"), F.col("first.fp").alias("b_fp"))
     held = s.select(F.col("doc_id").alias("b_id"), F.col("fp").alias("b_fp"), F.col("hashes").alias("other"))
     both = pairs.join(held, ["b_id", "b_fp"]).select("doc_id", "fp", "other")
@@ -206,7 +227,7 @@ def _apply(texts: pa.Array, cuts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], list(names))
 
 
-def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int = BLOCK_WORDS, into: str = "deduped") -> DataFrame:
+def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, into: str = "deduped") -> DataFrame:
     """All columns of ``docs``, with one more, named by ``into``: (text, n_lines, n_removed, removed_words).
 
     Documents are ordered by doc_id, so of two that share a block the one with the larger
@@ -215,7 +236,7 @@ def dedup_lines(docs: DataFrame, line_words: int = LINE_WORDS, block_words: int
     loses nothing is returned byte for byte; one that loses all its lines becomes empty.
     """
     runtime.ship_package(docs.sparkSession)
-    cuts = common_blocks(docs, line_words, block_words)
+    cuts = common_blocks(docs, block_words)
     size = cuts.agg(F.sum(F.lit(48) + 4 * F.size("cuts"))).first()[0] or 0
     names = [F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("cuts").alias("_cuts")]
     side = cuts.select(*names)

@@ -149,6 +149,17 @@ def test_lines_go_from_the_later_document(spark):
     assert by[4]["text"] == "" and by[4]["n_removed"] == by[4]["n_lines"]
 
 
+def test_lines_whose_first_holders_differ_or_that_are_short(spark):
+    rng = random.Random(6)
+    block, more = sentences(rng, 4), sentences(rng, 3)
+    verse = [f"{a} {b}." for a, b in zip("abcdefghijkl", "mnopqrstuvwx")]  # lines of two words
+    holders = [(k, "\n".join([*sentences(rng, 2), s])) for k, s in enumerate(block)]  # each line is first in a document of its own
+    rows = [*holders, (10, "\n".join([*sentences(rng, 2), *block])), (11, "\n".join([*block, *more])), (12, "\n".join(verse)), (13, "\n".join([*verse, more[0]])), (14, "\n".join(verse))]
+    by = {r["doc_id"]: r["deduped"] for r in lines.dedup_lines(data.documents(spark, rows)).collect()}
+    assert all(by[i]["text"] == dict(rows)[i] for i in (0, 1, 2, 3, 10, 12))
+    assert by[11]["text"] == "\n".join(more) and by[13]["text"] == more[0] and by[14]["text"] == ""
+
+
 def test_lines_edge_cases(spark):
     got = lines.dedup_lines(data.documents(spark, data.EDGE)).collect()
     assert sorted((str(r["doc_id"]), r["deduped"]["text"] is None) for r in got) == sorted((str(i), t is None) for i, t in data.EDGE)
