@@ -8,7 +8,10 @@ one (by doc_id) that has it, so every common block has a partner for each of its
 one pair for each run and document at most, however many documents share the run. A pair
 is aligned by patience diff: lines that are unique in both texts are anchors, the longest
 increasing run of anchors is kept, matches grow from them, and the gaps are
-searched again. Aligned blocks of enough words are deleted from the later document.
+searched again. Aligned blocks of enough words are deleted from the later document. An
+alignment keeps one order and one partner of each line; blocks that stand in another order
+or that either text repeats are found by the runs that it left and that the earlier
+document has. So a line goes if, and only if, it is in a common block of enough words.
 """
 
 from __future__ import annotations
@@ -153,18 +156,36 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
+def _keys(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return runs(hashes.view(np.uint64), words, np.array([0, len(hashes)]), least)
+
+
+def shared_lines(own: np.ndarray, words: np.ndarray, other: np.ndarray, other_words: np.ndarray, least: int) -> np.ndarray:
+    """Which lines of ``own`` are in a block of ``least`` words that ``other`` has too."""
+    gone = np.zeros(len(own), bool)
+    for p, _, n in patience(own.tolist(), other.tolist()):
+        if words[p : p + n].sum() >= least:
+            gone[p : p + n] = True
+    if gone.all():
+        return gone
+    # Runs with a line that is left: what was moved or is repeated.
+    key, first, end = _keys(own, words, least)
+    done = np.append(0, np.cumsum(gone))
+    left = done[end] - done[first] < end - first
+    left[left] = np.isin(key[left], _keys(other, other_words, least)[0])
+    for p, q in zip(first[left], end[left]):
+        gone[p:q] = True
+    return gone
+
+
 def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            columns = [batch.column(k) for k in ("hashes", "words", "other")]
+            columns = [batch.column(k) for k in ("hashes", "words", "other", "other_words")]
             for i in range(batch.num_rows):
-                own, words, other = (c[i].values.to_numpy() for c in columns)
-                cuts = []
-                for p, _, n in patience(own.tolist(), other.tolist()):
-                    if words[p : p + n].sum() >= least:
-                        cuts += [p, p + n]
-                out.append(cuts)
+                gone = shared_lines(*(c[i].values.to_numpy() for c in columns), least)
+                out.append(np.flatnonzero(np.diff(gone, prepend=False, append=False)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "fp", "cuts"])
 
     return run
@@ -180,10 +201,10 @@ def common_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     holders = runtime.write_scratch(holders.select("h", "first"), "holders")
     pairs = runs_of.join(holders, "h").filter("doc_id <> first.doc_id").select("doc_id", "fp", "first").distinct()
     pairs = pairs.select("doc_id", "fp", F.col("first.doc_id").alias("b_id"), F.col("first.fp").alias("b_fp"))
-    held = s.select(F.col("doc_id").alias("b_id"), F.col("fp").alias("b_fp"), F.col("hashes").alias("other"))
-    both = pairs.join(held, ["b_id", "b_fp"]).select("doc_id", "fp", "other")
+    held = s.select(F.col("doc_id").alias("b_id"), F.col("fp").alias("b_fp"), F.col("hashes").alias("other"), F.col("words").alias("other_words"))
+    both = pairs.join(held, ["b_id", "b_fp"]).select("doc_id", "fp", "other", "other_words")
     both = both.join(s, ["doc_id", "fp"])
-    cuts = both.select("doc_id", "fp", "hashes", "words", "other").mapInArrow(ar.tidy(_align(block_words)), "doc_id long, fp long, cuts array<int>").filter("size(cuts) > 0")
+    cuts = both.select("doc_id", "fp", "hashes", "words", "other", "other_words").mapInArrow(ar.tidy(_align(block_words)), "doc_id long, fp long, cuts array<int>").filter("size(cuts) > 0")
     return runtime.write_scratch(cuts.groupBy("doc_id", "fp").agg(F.flatten(F.collect_list("cuts")).alias("cuts")), "cuts")
 
 

@@ -160,6 +160,33 @@ def test_lines_whose_first_holders_differ_or_that_are_short(spark):
     assert by[11]["text"] == "\n".join(more) and by[13]["text"] == more[0] and by[14]["text"] == ""
 
 
+def test_lines_repeated_or_moved(spark):
+    rng = random.Random(7)
+    passage, moved, x, y, z, u, v = (sentences(rng, 4) for _ in range(7))
+    rows = [(1, [*u, *passage, *v]), (2, [*x, *passage, *y, *passage, *z]), (3, [*moved, *u]), (4, [*sentences(rng, 1), *u, *moved]), (5, [*passage, *passage])]
+    by = {r["doc_id"]: r["deduped"] for r in lines.dedup_lines(data.documents(spark, [(i, "\n".join(t)) for i, t in rows])).collect()}
+    assert by[1]["n_removed"] == 0 and by[2]["text"] == "\n".join([*x, *y, *z]) and by[3]["text"] == "\n".join(moved)
+    assert by[4]["text"] == rows[3][1][0] and by[5]["text"] == ""
+
+
+def test_lines_that_go_are_those_of_common_blocks(spark):
+    rng = random.Random(8)
+    vocabulary = [" ".join(f"w{k}x{i}" for i in range(rng.randrange(1, 12))) for k in range(5)]
+    texts = [[rng.randrange(5) for _ in range(rng.randrange(1, 9))] for _ in range(60)]
+    size = [len(w.split()) for w in vocabulary]
+    want = {}
+    for d, own in enumerate(texts):
+        gone = set()
+        for i in range(len(own)):
+            for j in range(i + 1, len(own) + 1):
+                if sum(size[k] for k in own[i:j]) >= 20 and any(own[i:j] == other[p : p + j - i] for other in texts[:d] for p in range(len(other))):
+                    gone |= set(range(i, j))
+        want[d] = "\n".join(vocabulary[k] for i, k in enumerate(own) if i not in gone)
+    docs = data.documents(spark, [(d, "\n".join(vocabulary[k] for k in own)) for d, own in enumerate(texts)])
+    got = {r["doc_id"]: r["deduped"]["text"].strip() for r in lines.dedup_lines(docs).collect()}
+    assert got == want and sum(want[d] != "\n".join(vocabulary[k] for k in own) for d, own in enumerate(texts)) > 3
+
+
 def test_lines_edge_cases(spark):
     got = lines.dedup_lines(data.documents(spark, data.EDGE)).collect()
     assert sorted((str(r["doc_id"]), r["deduped"]["text"] is None) for r in got) == sorted((str(i), t is None) for i, t in data.EDGE)
