@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import forest, jaccard, kneser_ney, language, lines, pieces, positional, quality, sharding, toxicity, training
+from siftwell.llm import angles, forest, jaccard, kneser_ney, language, lines, pages, pieces, positional, quality, sharding, shared_terms, toxicity, training
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -92,3 +92,21 @@ def op10_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", training.held_out("doc_id", 3, 1).alias("held_out"), F.col("quality_score").alias("score"),
         (F.col("quality_score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+@query
+def op11_shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_terms.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query
+def op12_angle_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return angles.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op13_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
