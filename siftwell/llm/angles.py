@@ -230,7 +230,7 @@ def _negatives(anchors: _Anchors, wanted: list[list[tuple[int, int, int, int]]],
                 still = [(lo, hi, b) for lo, hi, b in still if lo <= hi and lower[i] <= hi and upper[i] >= lo]
                 if not still:
                     continue
-                rows = np.flatnonzero(block.labels != label)
+                rows = np.flatnonzero((block.labels != label) & (block.ids != anchors.ids[i]))
                 least, most = anchors.rows(i, block, rows)
                 rows = rows[reduce(np.logical_or, [(least <= hi) & (most >= lo) for lo, hi, _ in still])]
                 if len(rows):

@@ -314,7 +314,7 @@ def main_text(page: str | None) -> str:
         first.setdefault(id(owner), text)
 
     def total(node: Node) -> float:
-        base = STRONG * node.main + STRONG * (node.good and not node.main) + 5 * (node.tag == "div")
+        base = STRONG * node.main + STRONG * (node.good and not node.main) + 5 * (node.tag == "div" and node.score >= 1)
         return (node.score + base) * (1 - node.linked / node.chars) if node.chars else 0.0
 
     able = [n for n in tree.nodes if n.block and n.chars and not n.noise and n.tag not in PARAGRAPHS and n.tag not in FRAMES]
