@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import CORPUS
+from corpus import CORPUS
 from pyspark.sql import functions as F
 
 from siftwell import runtime

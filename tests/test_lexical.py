@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import CORPUS, QUERIES
+from corpus import CORPUS, QUERIES
 from siftwell import runtime
 from siftwell.operators import lexical
 from siftwell.operators.analyze import Analyzer, tokenize

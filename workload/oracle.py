@@ -226,6 +226,7 @@ SQL: dict[str, str] = {
     "match_counts": with_parts(["counts"], "SELECT * FROM counts"),
     "tf_rank_topk": with_parts(["bool_top"], TOP + "bool_top"),
     "bm25_topk": with_parts(["bm25"], TOP + "bm25"),
+    "bm25_bounded_topk": with_parts(["bm25"], TOP + "bm25"),
     "bm25_threshold": with_parts(["bm25"], TOP + f"bm25 WHERE score > {BM25_THRESHOLD}"),
     "bm25_content_field": with_parts(["content_toks", "docs", "qt"], f"""
         , cpost AS (SELECT term, doc_id, count(*)::BIGINT AS tf, any_value(n) AS doc_len
@@ -248,6 +249,8 @@ SQL: dict[str, str] = {
         FROM embeddings JOIN documents ON doc_id = vec_id""",
     "vector_topk": with_parts(["vec"], """
         SELECT query_id, doc_id, rank, round(distance, 6) AS distance, round(similarity, 6) AS similarity FROM vec"""),
+    "vector_pruned_topk": with_parts(["vec"], """
+        SELECT query_id, doc_id, rank, round(distance, 6) AS distance, round(similarity, 6) AS similarity FROM vec"""),
     "vector_threshold": with_parts(["vec"], f"""
         SELECT query_id, doc_id, rank, round(distance, 6) AS distance, round(similarity, 6) AS similarity FROM vec
         WHERE distance < 1 - {VECTOR_THRESHOLD} / 100.0"""),

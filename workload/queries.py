@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from siftwell import runtime
 from siftwell.functions import scoring as sc
 from siftwell.functions import text as tx
-from siftwell.operators import compare, context, dense, embed, explain, fusion, lexical, topk
+from siftwell.operators import bounded, compare, context, dense, embed, explain, fusion, lexical, topk
+from siftwell.operators import cells as cl
 from siftwell.operators.analyze import Analyzer, tokenize
 from siftwell.operators.batch import of_category, split_valid
 from siftwell.operators.index import doc_lengths, join_postings, look_up_terms
@@ -230,6 +231,13 @@ def bm25_topk(c: Corpus) -> DataFrame:
     return lexical.bm25_topk(_scores(c), K).select("query_id", "doc_id", "rank", *rounded("score"))
 
 
+@query
+def bm25_bounded_topk(c: Corpus) -> DataFrame:
+    """The same list from a part of the postings."""
+    best = bounded.bm25_topk_bounded(c.index(), c.bounds(), c.keyword_queries(), K)
+    return best.select("query_id", "doc_id", "rank", *rounded("score"))
+
+
 @query
 def bm25_threshold(c: Corpus) -> DataFrame:
     batch = c.keyword_queries(tb.BM25_THRESHOLD)
@@ -300,12 +308,22 @@ def vector_labels(c: Corpus) -> DataFrame:
 
 
 @query
-def ann_topk(c: Corpus) -> DataFrame:
-    cells, model = c.cells()
-    near = dense.ann_topk(cells, model, c.keyword_queries(), K, n_probe=tb.N_PROBE)
+def vector_pruned_topk(c: Corpus) -> DataFrame:
+    """Exact, from the cells that can hold a neighbour."""
+    near = cl.pruned_search(c.cell_index(), c.keyword_queries(), K).results
     return near.select("query_id", "doc_id", "rank", *rounded("distance", "similarity"))
 
 
+def _approximate(c: Corpus) -> DataFrame:
+    index = c.cell_index()
+    return cl.approximate_topk(index, c.keyword_queries(), K, rerank=tb.rerank(index.n_vectors(), K))
+
+
+@query
+def ann_topk(c: Corpus) -> DataFrame:
+    return _approximate(c).select("query_id", "doc_id", "rank", *rounded("distance", "similarity"))
+
+
 @query
 def ann_all_cells(c: Corpus) -> DataFrame:
     """Probing every cell must give the exact neighbours."""
@@ -316,9 +334,10 @@ def ann_all_cells(c: Corpus) -> DataFrame:
 
 @query
 def ann_recall(c: Corpus) -> DataFrame:
-    cells, model = c.cells()
-    near = dense.ann_topk(cells, model, c.keyword_queries(), K, n_probe=tb.N_PROBE)
-    return dense.recall(near, _nearest(c)).select("query_id", *rounded("recall"))
+    """Recall, and the share of the vectors that were ranked by their true distance."""
+    near = runtime.write_scratch(_approximate(c), "approximate")
+    share = near.groupBy("query_id").agg((F.max("n_exact") / F.lit(c.cell_index().n_vectors())).alias("read_share"))
+    return dense.recall(near, _nearest(c)).join(share, "query_id", "left").select("query_id", *rounded("recall", "read_share"))
 
 
 @query

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from siftwell import runtime
 from siftwell.functions import text as tx
-from siftwell.operators import dense, embed
+from siftwell.operators import bounded, dense, embed
+from siftwell.operators import cells as cl
 from siftwell.operators.analyze import Analyzer
 from siftwell.operators.batch import QueryBatch
 from siftwell.operators.index import LexicalIndex, save_index
@@ -22,7 +23,6 @@ from siftwell.sources import documents as src
 
 TERM_BUCKETS = 8
 N_CELLS = 16
-N_PROBE = 8
 # Phrases looked for in the corpus, thresholds of the queries.
 NEEDLE = "tion"
 PHRASE = "the"
@@ -33,6 +33,15 @@ RRF_THRESHOLD = 9.0
 ENGLISH = Analyzer("english", lang_column="lang")
 
 
+# Fixed value: vectors that a query may rank exactly, as a share of all.
+READ_SHARE = 0.2
+
+
+def rerank(n_vectors: int, k: int) -> int:
+    """Ten vectors for each result, but no more than the share allows."""
+    return max(k, min(10 * k, int(n_vectors * READ_SHARE)))
+
+
 class Corpus:
     """Tables of one data folder, written on first use."""
 
@@ -94,6 +103,10 @@ class Corpus:
     def index(self) -> LexicalIndex:
         return self._index("full_text", Analyzer(), "full_text")
 
+    def bounds(self) -> bounded.Bounds:
+        """What a term adds at most, by blocks of documents of similar length."""
+        return self._once("bounds", lambda: bounded.save_bounds(self.index(), f"{self.base}/full_text"))
+
     def content_index(self) -> LexicalIndex:
         return self._index("content", Analyzer(), "content")
 
@@ -107,6 +120,10 @@ class Corpus:
             return dense.save_cells(dense.assign_cells(self.vectors(), model), f"{self.base}/cells"), model
         return self._once("cells", make)
 
+    def cell_index(self) -> cl.CellIndex:
+        """Cells whose number grows with the vectors, with residual codes."""
+        return self._once("cell_index", lambda: cl.save_cells(self.vectors(), f"{self.base}/cell_index"))
+
     # -- queries -----------------------------------------------------------
 
     def _with_vectors(self, queries: DataFrame) -> DataFrame:
