@@ -74,8 +74,8 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x, row, length
 
 
-def fit_language(sample: list[tuple[bytes, str]], epochs: int = 4, per_text: int = 3, batch: int = 64, rate: float = 0.01) -> LanguageModel:
-    """Train on windows of the sample by Adam. Without any label every text has no known language."""
+def fit_language(sample: list[tuple[bytes, str]], epochs: int = 4, batch: int = 64, rate: float = 0.01) -> LanguageModel:
+    """Train on all windows of the sample by Adam. Without any label every text has no known language."""
     model = LanguageModel(sorted({y for _, y in sample}))
     if len(model.names) < 2:
         return model
@@ -85,10 +85,9 @@ def fit_language(sample: list[tuple[bytes, str]], epochs: int = 4, per_text: int
         data = np.frombuffer(raw, np.uint8)
         if len(data):
             x, _, _ = windows(data, np.array([0, len(data)]))
-            for i in rng.permutation(len(x))[:per_text]:
-                xs.append(x[i])
-                ys.append(model.names.index(label))
-    x, y = np.array(xs), np.array(ys)
+            xs.append(x)
+            ys.append(np.full(len(x), model.names.index(label)))
+    x, y = np.concatenate(xs), np.concatenate(ys)
     n_classes, n_filters = len(model.names), FILTERS * len(WIDTHS)
     # Windows of rare languages count for more, half way to equal classes.
     weight = (len(y) / n_classes / np.bincount(y, minlength=n_classes)) ** 0.5
@@ -136,7 +135,7 @@ def fit_language(sample: list[tuple[bytes, str]], epochs: int = 4, per_text: int
 
 
 def language_model(docs: DataFrame, rows: int = training.SAMPLE_ROWS) -> LanguageModel:
-    """A model fitted on at most ``rows`` documents with a language whose crc32(doc_id) mod 5 is not 0."""
+    """A model fitted on the whole texts of at most ``rows`` documents with a language whose crc32(doc_id) mod 5 is not 0."""
     runtime.ship_package(docs.sparkSession)
     known = docs.select("doc_id", F.col("lang").alias("label"))
     return fit_language(training.labelled_sample(docs, known, ~training.held_out("doc_id", 5, 0), rows))

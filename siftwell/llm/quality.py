@@ -24,8 +24,8 @@ from siftwell import runtime
 from siftwell.llm import arrays as ar
 from siftwell.llm import training
 
-# Bytes of a piece and of a dictionary, compression level, pieces that a dictionary is built from at most.
-PIECE, DICTIONARY, LEVEL, MOST_PIECES = 512, 1 << 16, 3, 20000
+# Bytes of a piece and of a dictionary, compression level.
+PIECE, DICTIONARY, LEVEL = 512, 1 << 16, 3
 
 
 @dataclass
@@ -69,7 +69,6 @@ def features(texts: list[bytes], compressors: list) -> np.ndarray:
 def _dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary, or the plain text where there is too little to train on."""
     pieces = [p for raw in samples for p in _pieces(raw)]
-    pieces = pieces[:: max(1, -(-len(pieces) // MOST_PIECES))]
     try:
         return zstandard.train_dictionary(DICTIONARY, pieces).as_bytes()
     except zstandard.ZstdError:
@@ -106,7 +105,7 @@ def score_quality(docs: DataFrame, model: QualityModel, into: str = "quality_sco
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, rows: int = training.SAMPLE_ROWS) -> QualityModel:
-    """A model fitted on at most ``rows`` labelled documents whose crc32(doc_id) mod 3 is not 1."""
+    """A model fitted on the whole texts of at most ``rows`` labelled documents whose crc32(doc_id) mod 3 is not 1."""
     runtime.ship_package(docs.sparkSession)
     known = labels.select("doc_id", F.col("quality").alias("label"))
     return fit_quality(training.labelled_sample(docs, known, ~training.held_out("doc_id", 3, 1), rows))

@@ -29,8 +29,8 @@ from siftwell.llm import training
 WINDOW, STRIDE = 32, 24
 WORD, CHAR, STATE, ATTEND, PAIRS, VOCABULARY = 8, 6, 8, 8, 4096, 20000
 BATCH = 512
-#: Bytes of a labelled text that the network is fitted on, at most.
-SAMPLE_BYTES = 1 << 12
+#: Labelled rows that are used, at most, and one in how many of them calibrates.
+SAMPLE_ROWS, CALIBRATE = 3000, 5
 U64 = np.uint64
 #: Characters of a word that are letters; a word is blank-separated and trimmed of ASCII punctuation.
 EDGE = np.zeros(256, bool)
@@ -114,6 +114,7 @@ class ToxicityModel:
     vocabulary: np.ndarray  # sorted word hashes
     p: dict[str, np.ndarray]
     calibration: np.ndarray
+    trained: bool = True
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         """1 + place in the vocabulary, 0 for other words."""
@@ -194,21 +195,20 @@ def _logits_of(model: ToxicityModel, hashes: np.ndarray, pairs: np.ndarray, begi
     return model.logits(hashes[lo:hi], (own, first - first[0]), np.where(index >= 0, index - lo, -1))
 
 
-def fit_toxicity(sample: list[tuple[bytes, int]], epochs: int = 4, per_text: int = 8, batch: int = 128, rate: float = 0.01) -> ToxicityModel:
-    """Train on windows of four fifths of the sample, calibrate on the rest.
+def train_network(learn: list[tuple[bytes, int]], epochs: int = 3, batch: int = 128, rate: float = 0.01) -> ToxicityModel:
+    """Train on all windows of the texts.
 
     A window takes its text's label; in a toxic text only the more toxic half of
     the windows is taken once the first epoch is over, since the rest may be clean.
     With one class only, or no words, the score is the share of toxic rows for every text.
     """
     rng = np.random.default_rng(0)
-    learn, rest = [s for i, s in enumerate(sample) if i % 5], sample[::5]
     y = np.array([int(v == 1) for _, v in learn], float)
     hashes, pairs, begin, bounds = _sample_words([t for t, _ in learn] or [b""])
     if not len(hashes) or y.min() == y.max():
         model = _blank_model(np.zeros(0, U64), rng)
-        share = (sum(v == 1 for _, v in sample) + 0.5) / (len(sample) + 1)
-        model.calibration = np.array([0.0, 0.0, np.log(share / (1 - share))])
+        share = (y.sum() + 0.5) / (len(y) + 1)
+        model.calibration, model.trained = np.array([0.0, 0.0, np.log(share / (1 - share))]), False
         return model
     owner = np.repeat(np.arange(len(learn)), np.diff(bounds))
     order = np.lexsort((owner, hashes))
@@ -218,22 +218,19 @@ def fit_toxicity(sample: list[tuple[bytes, int]], epochs: int = 4, per_text: int
     model = _blank_model(np.sort(names[np.argsort(-counts, kind="stable")[:VOCABULARY]]), rng)
     p, ids = model.p, model.word_ids(hashes)
     index, row = window_index(bounds)
-    chosen = np.argsort(row + rng.random(len(row)), kind="stable")
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    chosen = np.sort(chosen[nth < per_text])
     length = np.diff(np.append(begin, len(pairs)))
     m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
     step, weight = 0, np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
     for epoch in range(epochs):
         if epoch:
             small = ToxicityModel(model.vocabulary, {k: a.astype(np.float32) for k, a in p.items()}, model.calibration)
-            z = np.concatenate([_logits_of(small, hashes, pairs, begin, index[chosen[lo : lo + 4096]]) for lo in range(0, len(chosen), 4096)])
-            order = np.lexsort((-z, row[chosen]))
-            place = np.arange(len(chosen)) - np.searchsorted(row[chosen], row[chosen])
-            size = np.bincount(row[chosen], minlength=len(y))[row[chosen]]
-            used = chosen[order][(y[row[chosen]] == 0) | (place < np.maximum(1, size // 2))]
+            z = np.concatenate([_logits_of(small, hashes, pairs, begin, index[lo : lo + 4096]) for lo in range(0, len(row), 4096)])
+            order = np.lexsort((-z, row))
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            size = np.bincount(row, minlength=len(y))[row]
+            used = order[(y[row] == 0) | (place < np.maximum(1, size // 2))]
         else:
-            used = chosen
+            used = np.arange(len(row))
         used = rng.permutation(used)
         for lo in range(0, len(used), batch):
             at, yb, wb = index[used[lo : lo + batch]].T, y[row[used[lo : lo + batch]]], weight[row[used[lo : lo + batch]]]
@@ -291,16 +288,42 @@ def fit_toxicity(sample: list[tuple[bytes, int]], epochs: int = 4, per_text: int
                 v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                 p[k] = p[k] - rate * (1 - 0.8 * epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     model.p = {k: np.asarray(a, np.float32) for k, a in p.items()}
-    x = model.features(pa.array([t.decode(errors="replace") for t, _ in rest]))
-    model.calibration = training.fit_logistic(x, np.array([int(v == 1) for _, v in rest], float), ridge=0.1)
     return model
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = training.SAMPLE_ROWS) -> ToxicityModel:
-    """A model fitted on at most ``rows`` labelled documents, 4 KiB of each, whose crc32(doc_id) mod 5 is not 0."""
-    runtime.ship_package(docs.sparkSession)
+def calibrate(model: ToxicityModel, features: np.ndarray, y: np.ndarray) -> ToxicityModel:
+    """Weigh (largest, mean) of whole texts that the network has not seen."""
+    if model.trained:
+        model.calibration = training.fit_logistic(features, y, ridge=0.1)
+    return model
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicityModel:
+    """A model fitted on at most ``rows`` labelled documents whose crc32(doc_id) mod 5 is not 0.
+
+    The network learns from all windows of the whole texts of four fifths of them; the others are
+    scored whole where they lie, and two numbers of each calibrate.
+    """
+    spark = docs.sparkSession
+    runtime.ship_package(spark)
     known = labels.select("doc_id", F.col("toxic").alias("label"))
-    return fit_toxicity(training.labelled_sample(docs, known, ~training.held_out("doc_id", 5, 0), rows, SAMPLE_BYTES))
+    chosen = runtime.write_scratch(training.chosen_rows(known, ~training.held_out("doc_id", 5, 0), rows), "labelled-rows")
+    held_back = F.pmod(F.xxhash64("rank"), F.lit(CALIBRATE)) == 0
+    got = training.texts_of(docs, chosen.filter(~held_back)).collect()
+    learn = sorted(((r["rank"], r["text"].encode(), r["label"]) for r in got), key=lambda r: (r[0], r[1], str(r[2])))
+    model = train_network([(raw, label) for _, raw, label in learn])
+    if not model.trained:
+        return model
+    shared = spark.sparkContext.broadcast(model)
+
+    @arrow_udf("array<double>")
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(shared.value.features(texts).tolist(), pa.list_(pa.float64()))
+
+    rest = training.texts_of(docs, chosen.filter(held_back)).select("rank", "label", features("text").alias("f")).collect()
+    rest = sorted((r["rank"], int(r["label"] == 1), *r["f"]) for r in rest)
+    return calibrate(model, np.array([r[2:] for r in rest]).reshape(-1, 2), np.array([r[1] for r in rest], float))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, into: str = "toxicity") -> DataFrame:

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a classifier is fitted on, and bytes of each that it sees, at most.
+#: Labelled rows that a classifier is fitted on, at most. Of each it sees the whole text.
 SAMPLE_ROWS = 6000
-SAMPLE_BYTES = 1 << 14
 
 
 def held_out(column: str, mod: int, remainder: int) -> Column:
@@ -17,38 +15,33 @@ def held_out(column: str, mod: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % mod == remainder, F.lit(True))
 
 
-def _cut(most: int):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                raw = text.encode()
-                if len(raw) > most:  # eight pieces, evenly spread over the whole text
-                    piece, step = most // 8, (len(raw) - most // 8) // 7
-                    raw = b"".join(raw[i * step : i * step + piece] for i in range(8))
-                out.append(raw)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), batch.column(2)], ["raw", "label", "rank"])
+def chosen_rows(labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, label, rank) of at most ``rows`` rows, uniform over the labelled rows that ``learn`` allows.
 
-    return run
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[bytes, object]]:
-    """(text bytes, label) of at most ``rows`` rows, uniform over the labelled rows that ``learn`` allows.
-
-    labels: ``doc_id`` and ``label``. Rows are chosen by a hash of doc_id before any text
-    is read, and their ids (a bounded list) find the texts without a shuffle. Null
-    labels and null texts teach nothing. The same tables give the same sample in the same order.
+    labels: ``doc_id`` and ``label``. Rows are chosen by a hash of doc_id, before any text is read. Null
+    labels and doc_ids teach nothing. The same table gives the same rows.
     """
     known = labels.select("doc_id", "label").filter(learn & F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     rank = F.xxhash64("doc_id", F.lit(17))
     n = known.count()
     share = min(1.0, rows / max(n, 1))
     bound = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-    some = known.withColumn("rank", rank).filter(F.col("rank") <= F.lit(bound)).orderBy("rank", "doc_id", "label").limit(rows)
-    texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(some), "doc_id")
-    got = texts.select("text", "label", "rank").mapInArrow(_cut(size), f"raw binary, label {dict(some.dtypes)['label']}, rank long")
-    got = got.groupBy("rank", "label").agg(F.min("raw").alias("raw"))  # one text per chosen row, also where a doc_id repeats
-    found = sorted(((r["rank"], bytes(r["raw"]), r["label"]) for r in got.collect()), key=lambda r: (r[0], r[1], str(r[2])))
+    return known.withColumn("rank", rank).filter(F.col("rank") <= F.lit(bound)).orderBy("rank", "doc_id", "label").limit(rows)
+
+
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(rank, label, text): the whole text of each chosen row, one also where a doc_id repeats; a null text teaches nothing.
+
+    The chosen ids (a bounded list) find their texts without a shuffle of others.
+    """
+    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("rank", "label").agg(F.min("text").alias("text"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS) -> list[tuple[bytes, object]]:
+    """(text bytes, label) of ``chosen_rows``, in a fixed order."""
+    got = texts_of(docs, chosen_rows(labels, learn, rows)).collect()
+    found = sorted(((r["rank"], r["text"].encode(), r["label"]) for r in got), key=lambda r: (r[0], r[1], str(r[2])))
     return [(raw, label) for _, raw, label in found]
 
 
