@@ -14,8 +14,8 @@ SF = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="given tables are not here")
 
-# No SQL for these: a stemmer, trained cells, a hash of a feature library.
-ROWS_ONLY = {"bm25_english", "english_terms", "ann_topk", "ann_recall", "embed_documents"}
+# No SQL for these: trained cells, a hash of a feature library.
+ROWS_ONLY = {"ann_topk", "ann_recall", "embed_documents"}
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def test_entry(spark):
 
 def test_recall_is_useful(spark):
     shares = [r["recall"] for r in queries()["ann_recall"](spark, SF).collect()]
-    assert sum(shares) / len(shares) > 0.6
+    assert sum(shares) / len(shares) > 0.8
 
 
 def test_english_index_against_a_plain_model(spark, con):

@@ -6,6 +6,7 @@ the corpus, the postings and the ranked lists serves all of them.
 
 from __future__ import annotations
 
+from workload import stems
 from workload.tables import BM25_THRESHOLD, NEEDLE, PHRASE, RRF_THRESHOLD, VECTOR_THRESHOLD
 
 NW = r"[^\p{L}\p{N}_]+"
@@ -154,6 +155,35 @@ PARTS["contrib"] = (["an_bm25", "dstats"], """
     JOIN dstats USING (term) WHERE n > 0""")
 
 
+_STOP = ", ".join(f"'{w}'" for w in stems.STOP)
+# English terms: stop words and stems for English rows (and for the queries, which count as English), plain tokens for others.
+PARTS |= {
+    "plain": (["toks", "docs"], "SELECT doc_id, coalesce(lang = 'en', false) AS en, unnest(t) AS w FROM toks JOIN docs ON id = doc_id"),
+    "english_words": (["plain", "qt"], "SELECT DISTINCT w FROM (SELECT w FROM plain WHERE en UNION ALL SELECT term FROM qt)"),
+    **stems.parts("english_words"),
+    "eocc": (["plain", "stems"], f"""
+        SELECT doc_id, CASE WHEN en THEN stem ELSE plain.w END AS term FROM plain LEFT JOIN stems ON stems.w = plain.w
+        WHERE NOT (en AND plain.w IN ({_STOP}))"""),
+    "elen": (["eocc"], "SELECT doc_id, count(*)::BIGINT AS doc_len FROM eocc GROUP BY doc_id"),
+    "epost": (["eocc", "elen"], """
+        SELECT term, doc_id, count(*)::BIGINT AS tf, any_value(doc_len) AS doc_len FROM eocc JOIN elen USING (doc_id) GROUP BY term, doc_id"""),
+    "estats": (["eocc", "docs"], """
+        SELECT (SELECT count(*) FROM docs)::BIGINT AS n_docs, (SELECT count(*) FROM eocc) / (SELECT count(*) FROM docs)::DOUBLE AS avg_len"""),
+    "edf": (["epost", "estats"], """
+        SELECT term, count(*)::BIGINT AS doc_freq,
+               ln((any_value(n_docs) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1) AS idf
+        FROM epost, estats GROUP BY term"""),
+    "eqt": (["qt", "stems"], f"""
+        SELECT DISTINCT query_id, stem AS term FROM qt JOIN stems ON stems.w = qt.term WHERE qt.term NOT IN ({_STOP})"""),
+    "ebm25": (["eqt", "edf", "epost", "estats"], """
+        SELECT query_id, doc_id, rank, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM (
+            SELECT query_id, doc_id,
+                   sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len))) AS score
+            FROM eqt JOIN edf USING (term) JOIN epost USING (term), estats GROUP BY query_id, doc_id)) WHERE rank <= 10"""),
+}
+
+
 def with_parts(needs: list[str], select: str) -> str:
     """``WITH`` the parts a query needs, each once and in order."""
     order: list[str] = []
@@ -241,6 +271,8 @@ SQL: dict[str, str] = {
               GROUP BY query_id, doc_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s)
         SELECT query_id, doc_id, rank, {R6} FROM r WHERE rank <= 5"""),
+    "bm25_english": with_parts(["ebm25"], TOP + "ebm25"),
+    "english_terms": with_parts(["edf"], "SELECT term, doc_freq, round(idf, 6) AS idf FROM edf"),
     "df_word_boundary": with_parts(["dstats"], "SELECT term, doc_freq, round(idf, 6) AS idf FROM dstats"),
     "rare_terms": with_parts(["dstats"], """
         SELECT term, doc_freq <= 3 AS is_rare, term || ' (' || doc_freq || '/' || n_docs || ')' AS shown_as FROM dstats"""),
@@ -259,6 +291,11 @@ SQL: dict[str, str] = {
                CASE WHEN similarity > 0.4 THEN 'High' WHEN similarity > 0.25 THEN 'Moderate' ELSE 'Low' END AS label
         FROM vec"""),
     "ann_all_cells": with_parts(["vec"], "SELECT query_id, doc_id, rank, round(similarity, 4) AS similarity FROM vec"),
+    "embed_resumed": with_parts(["docs"], """
+        SELECT id AS doc_id, run::BIGINT AS run, """ + ", ".join(
+            f"round(((length(full_text) - length(replace(full_text, '{x}', ''))) / length(full_text)::DOUBLE)::FLOAT::DOUBLE, 5) "
+            f"+ CASE WHEN run IS NULL THEN NULL ELSE 0 END AS share_{x}" for x in "aens") + """
+        FROM (SELECT *, CASE WHEN contains(full_text, '###') THEN NULL WHEN contains(full_text, 'er') THEN 2 ELSE 1 END AS run FROM docs)"""),
     "rrf_topk": with_parts(["fused"], f"SELECT query_id, doc_id, rank, vector_rank, keyword_rank, {R6} FROM fused"),
     "rrf_threshold": with_parts(["fused"], TOP + f"fused WHERE score >= {RRF_THRESHOLD} / 1000.0"),
     "rrf_missing_rank": with_parts(["pairs"], f"""
@@ -391,6 +428,27 @@ SQL: dict[str, str] = {
         WHERE rank <= 3 GROUP BY query_id"""),
 }
 
+# The documents after two rounds of changes take the place of the given ones.
+_CHANGED = """
+        SELECT id, title, content, category, lang FROM (
+          SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, source AS category, lang,
+                 substr(text, length(split_part(text, chr(10), 1)) + 2) AS old,
+                 CASE WHEN doc_id % 40 = 3 THEN 'second ' || title WHEN doc_id % 100 = 7 THEN 'again ' || left(old, 100)
+                      WHEN doc_id % 20 = 3 THEN title || ' ' || left(old, 500) ELSE old END AS content
+          FROM documents WHERE doc_id % 100 <> 23 AND (doc_id % 20 <> 7 OR doc_id % 100 = 7))
+        UNION ALL
+        SELECT doc_id + 1000000, 'copy ' || split_part(text, chr(10), 1), substr(text, length(split_part(text, chr(10), 1)) + 2), source, lang
+        FROM documents WHERE doc_id % 50 = 1"""
+
+
+def _changed(needs: list[str], select: str) -> str:
+    return with_parts(needs, select).replace(PARTS["docs0"][1], _CHANGED)
+
+
+SQL["updated_documents"] = _changed(["docs"], "SELECT id, title, content, category, word_count FROM docs")
+SQL["updated_term_stats"] = _changed(["df"], "SELECT term, doc_freq, round(idf, 6) AS idf FROM df")
+SQL["updated_ranking"] = _changed(["bm25"], TOP + "bm25")
+
 # The conversation queries take the place of the keyword queries.
 _RAG = with_parts(["fused", "docs"], """
     SELECT query_id, count(*)::BIGINT AS n_docs, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS doc_ids,

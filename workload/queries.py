@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftwell import runtime
 from siftwell.functions import scoring as sc
 from siftwell.functions import text as tx
-from siftwell.operators import bounded, compare, context, dense, embed, explain, fusion, lexical, topk
+from siftwell.operators import bounded, compare, context, dense, embed, explain, fusion, lexical, segments, topk
 from siftwell.operators import cells as cl
 from siftwell.operators.analyze import Analyzer, tokenize
 from siftwell.operators.batch import of_category, split_valid
@@ -278,6 +278,60 @@ def rare_terms(c: Corpus) -> DataFrame:
     return explain.rare_term_flags(stats, c.index().n_docs()).select("term", "is_rare", "shown_as")
 
 
+# -- changes -----------------------------------------------------------------
+
+
+def _changes(docs: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Two rounds of (new and changed rows, removed ids), together a good tenth of the documents."""
+    key = F.col("id")
+    row = lambda new_id, title, content: [
+        (new_id if c == "id" else title if c == "title" else content if c == "content" else F.col(c)).alias(c)
+        for c in ("id", "title", "content", "category", "lang")
+    ]
+    first = docs.filter(key % 20 == 3).select(*row(key, F.col("title"), F.concat("title", F.lit(" "), F.substring("content", 1, 500))))
+    second = docs.filter((key % 40 == 3) & (key % 100 != 23)).select(*row(key, F.col("title"), F.concat(F.lit("second "), "title")))
+    added = docs.filter(key % 50 == 1).select(*row(key + 1_000_000, F.concat(F.lit("copy "), "title"), F.col("content")))
+    again = docs.filter(key % 100 == 7).select(*row(key, F.col("title"), F.concat(F.lit("again "), F.substring("content", 1, 100))))
+    return [
+        (src.derive_columns(first), docs.filter(key % 20 == 7).select("id")),
+        (src.derive_columns(second.unionByName(added).unionByName(again)), docs.filter(key % 100 == 23).select("id")),
+    ]
+
+
+def _changed(c: Corpus):
+    """(documents, index) after both rounds, the second round folded into the first."""
+    def make():
+        plain = c.documents().select("id", "title", "content", "category", "lang", "full_text", "word_count")
+        home = f"{c.base}/changed"
+        docs = segments.write_sharded(plain, f"{home}/documents", c.shards())
+        index = segments.SegmentedIndex(c.index(), f"{home}/segments")
+        for upserts, deletes in _changes(plain):
+            index = index.apply(docs, upserts, deletes)
+            docs = segments.update_documents(docs, f"{home}/documents", c.shards(), upserts, deletes)
+        return docs, index.fold().merged()
+    return c._once("changed", make)
+
+
+@query
+def updated_documents(c: Corpus) -> DataFrame:
+    docs, _ = _changed(c)
+    return docs.select("id", "title", "content", "category", F.col("word_count").cast("long").alias("word_count"))
+
+
+@query
+def updated_term_stats(c: Corpus) -> DataFrame:
+    _, index = _changed(c)
+    return index.term_stats.select("term", "doc_freq", *rounded("idf"))
+
+
+@query
+def updated_ranking(c: Corpus) -> DataFrame:
+    """BM25 over the base and its segments."""
+    _, index = _changed(c)
+    best = lexical.bm25_topk(lexical.match_scores(index, c.keyword_queries()), K)
+    return best.select("query_id", "doc_id", "rank", *rounded("score"))
+
+
 # -- vectors -----------------------------------------------------------------
 
 
@@ -347,6 +401,32 @@ def embed_documents(c: Corpus) -> DataFrame:
     return vectors.select("doc_id", F.size("embedding").cast("long").alias("dims"))
 
 
+# The letters whose shares are a document's vector, what the model refuses for now and for good.
+LETTERS, BUSY, REFUSED = "aens", "er", "###"
+
+
+def _letter_shares(refused: tuple[str, ...]):
+    """A model of our own: shares of four letters; it fails on texts with certain parts."""
+    def model(texts: list[str]) -> list[list[float]]:
+        if any(part in t for t in texts for part in refused):
+            raise ValueError("not now")
+        return [[t.count(c) / max(len(t), 1) for c in LETTERS] for t in texts]
+    return model
+
+
+@query
+def embed_resumed(c: Corpus) -> DataFrame:
+    """Two runs of the embedding job: the first model is too busy for many texts, both refuse some."""
+    def make() -> str:
+        path = f"{c.base}/letter_vectors"
+        for refused in ((BUSY, REFUSED), (REFUSED,)):
+            embed.resume_embeddings(c.documents(), path, _letter_shares(refused))
+        return path
+    vectors = embed.stored_embeddings(c.documents(), c._once("letter_vectors", make))
+    share = lambda i: F.round(F.col("embedding")[i].cast("double"), 5).alias(f"share_{LETTERS[i]}")
+    return vectors.select("doc_id", F.col("run").cast("long").alias("run"), *[share(i) for i in range(len(LETTERS))])
+
+
 # -- fusion ------------------------------------------------------------------
 
 
