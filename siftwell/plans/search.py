@@ -15,9 +15,16 @@ from siftwell.functions import text as tx
 from siftwell.sources import documents as src
 
 
-def load_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(documents with keys and derived columns, rejected files) of a markdown folder."""
-    files = src.scan_markdown(spark, folder)
+def load_corpus(spark: SparkSession, folder: str, packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(documents with keys and derived columns, rejected files) of a markdown folder.
+
+    ``packed`` is for very many small files in folders of any depth: tasks list them, and a
+    task reads files of a given total size. It needs a store that Arrow can open.
+    """
+    if packed:
+        files = runtime.write_scratch(src.read_packed(src.list_markdown(spark, folder)), "packed-files")
+    else:
+        files = src.scan_markdown(spark, folder)
     if files.isEmpty():
         raise ValueError(f"no documents in {folder}")
     good, bad = src.split_parsed(src.parse_front_matter(files))

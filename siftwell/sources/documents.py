@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +28,102 @@ def scan_markdown(spark: SparkSession, folder: str) -> DataFrame:
     return files.filter(~F.lower("source_file").startswith("readme"))
 
 
+# -- many small files ----------------------------------------------------------
+
+
+#: Bytes of files that one task reads; a file counts as at least OPEN_BYTES.
+SPLIT_BYTES, OPEN_BYTES = 64 << 20, 16 << 10
+# Schemes of stores under the names that Arrow knows them by.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gs": "gs"}
+
+
+def _store(path: str) -> tuple[fs.FileSystem, str, str]:
+    """(file system, path on it, what to put before its paths)."""
+    scheme, found, rest = path.partition("://")
+    if not found:
+        plain = path.removeprefix("file:")
+        return fs.LocalFileSystem(), "/" + plain.lstrip("/"), ""
+    system, inner = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    return system, inner, path[: len(path) - len(inner)] if path.endswith(inner) else f"{scheme}://"
+
+
+def list_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, source_file, size`` of the ``*.md`` files below ``folder``, without readme files.
+
+    Folders are listed by tasks, one level at a time; what the driver sees is the number of levels.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                system, inner, before = _store(folder)
+                found = system.get_file_info(fs.FileSelector(inner))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([before + f.path for f in found], pa.string()), pa.array([f.base_name for f in found], pa.string()),
+                    pa.array([f.size or 0 for f in found], pa.int64()), pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()),
+                ], ["path", "source_file", "size", "folder"])
+
+    level = spark.createDataFrame([(folder.rstrip("/"),)], "path string")
+    levels = []
+    while True:
+        rows = level.select("path").repartition(spark.sparkContext.defaultParallelism) if levels else level
+        found = runtime.write_scratch(rows.mapInArrow(scan, "path string, source_file string, size long, folder boolean"), "listed-files")
+        levels.append(found.filter("not folder").select("path", "source_file", "size"))
+        level = found.filter("folder and not source_file like '.%' and not source_file like '\\_%'")
+        if level.isEmpty():
+            break
+    name = F.lower("source_file")
+    return reduce(DataFrame.unionByName, levels).filter(F.col("source_file").endswith(".md") & ~name.startswith("readme"))
+
+
+def read_packed(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``source_file, value`` of listed files, packed into tasks of about ``split_bytes`` by their measured sizes.
+
+    Files are dealt by a hash into as many splits as their sizes ask for; one larger than a
+    split is read whole, like any file, because its header is at its start. Bytes that are
+    no UTF-8 become replacement characters. A file that went missing since it was listed has a NULL value.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, inner, _ = _store(path)
+                try:
+                    with system.open_input_stream(inner) as f:
+                        value = f.read().decode("utf-8", "replace")
+                except FileNotFoundError:
+                    value = None
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([value], pa.string())], ["source_file", "value"])
+
+    total = files.agg(F.sum(F.greatest("size", F.lit(OPEN_BYTES)))).first()[0] or 0
+    splits = max(1, -(-total // split_bytes))
+    dealt = files.select("path", "source_file").repartition(splits, F.xxhash64("path"))
+    return dealt.mapInArrow(read, "source_file string, value string")
+
+
+def write_markdown(files: DataFrame, folder: str, per_folder: int = 10_000) -> None:
+    """Write ``source_file, value`` as files of these names, dealt over sub-folders by a hash of the name.
+
+    Tasks write; a repeated task replaces its own files by equal ones.
+    """
+    folder = folder.rstrip("/")
+    n = max(1, -(-files.count() // per_folder))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written, made = 0, set()
+        for batch in batches:
+            for name, value, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                system, inner, _ = _store(f"{folder}/part-{part:05d}")
+                if part not in made:
+                    system.create_dir(inner, recursive=True)
+                    made.add(part)
+                with system.open_output_stream(f"{inner}/{name}") as f:
+                    f.write((value or "").encode())
+                written += 1
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["written"])
+
+    rows = files.select("source_file", "value", F.pmod(F.xxhash64("source_file"), F.lit(n)).cast("int").alias("part"))
+    rows.mapInArrow(write, "written long").agg(F.sum("written")).collect()
+
+
 def _strip(c: Column) -> Column:
     """Remove white space of any kind, line ends included, at both ends."""
     return F.regexp_replace(c, r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")

@@ -45,6 +45,32 @@ def test_folder_load(spark, folder):
     }
 
 
+def test_packed_load_is_the_same(spark, folder, tmp_path):
+    deep = tmp_path / "sub" / "deeper"
+    deep.mkdir(parents=True)
+    (deep / "z-late.md").write_text("---\ntitle: z\n---\ndeep")
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "x.md").write_text(FILES["a-good.md"])
+    (tmp_path / "sub" / "bytes.md").write_bytes(b"---\ntitle: b\n---\n\xff\xfe")
+    docs, bad = search.load_corpus(spark, folder, packed=True)
+    flat, flat_bad = search.load_corpus(spark, folder)
+    rows = {r["source_file"]: (r["title"], r["category"], r["content"]) for r in docs.collect()}
+    assert rows == {r["source_file"]: (r["title"], r["category"], r["content"]) for r in flat.collect()} | {
+        "z-late.md": ("z", "general", "deep"), "bytes.md": ("b", "general", "\ufffd\ufffd")}
+    assert sorted(map(tuple, bad.collect())) == sorted(map(tuple, flat_bad.collect()))
+    listed = src.list_markdown(spark, folder)
+    assert {r["source_file"]: r["size"] for r in listed.collect()}["a-good.md"] == len(FILES["a-good.md"])
+    assert src.read_packed(listed, split_bytes=src.OPEN_BYTES * 3).rdd.getNumPartitions() == 4
+
+
+def test_written_files_come_back(spark, tmp_path):
+    rows = [(f"f{i}.md", f"---\ntitle: t{i}\n---\nbody é {i}") for i in range(50)]
+    src.write_markdown(spark.createDataFrame(rows, "source_file string, value string"), str(tmp_path / "out"), per_folder=20)
+    back = src.read_packed(src.list_markdown(spark, str(tmp_path / "out")))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert len([p for p in (tmp_path / "out").iterdir()]) == 3
+
+
 def test_empty_folder_is_an_error(spark, tmp_path):
     (tmp_path / "readme.md").write_text("x")
     with pytest.raises(ValueError, match="no documents"):

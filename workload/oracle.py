@@ -445,6 +445,10 @@ def _changed(needs: list[str], select: str) -> str:
     return with_parts(needs, select).replace(PARTS["docs0"][1], _CHANGED)
 
 
+SQL["folder_rejects"] = SQL["frontmatter_rejects"]
+SQL["folder_load"] = f"""
+    SELECT row_number() OVER (ORDER BY source_file) AS id, source_file, title, category, content, word_count
+    FROM ({SQL['frontmatter_load']})"""
 SQL["updated_documents"] = _changed(["docs"], "SELECT id, title, content, category, word_count FROM docs")
 SQL["updated_term_stats"] = _changed(["df"], "SELECT term, doc_freq, round(idf, 6) AS idf FROM df")
 SQL["updated_ranking"] = _changed(["bm25"], TOP + "bm25")

@@ -112,6 +112,31 @@ def frontmatter_rejects(c: Corpus) -> DataFrame:
     return bad
 
 
+def _loaded_files(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    """Write the files, load the folder again."""
+    def make():
+        folder = f"{c.base}/markdown"
+        readme = c.table("region").select(F.lit("README.md").alias("source_file"), F.lit("not a document").alias("value")).limit(1)
+        other = readme.select(F.lit("notes.txt").alias("source_file"), "value")
+        src.write_markdown(_as_files(c).unionByName(readme).unionByName(other), folder, per_folder=500)
+        return search.load_corpus(c.spark, folder, packed=True)
+    return c._once("markdown", make)
+
+
+@query
+def folder_load(c: Corpus) -> DataFrame:
+    """Documents as files in a folder, loaded with keys in the order of their names."""
+    docs, _ = _loaded_files(c)
+    return docs.select(
+        "id", "source_file", "title", "category", "content", F.col("word_count").cast("long").alias("word_count"),
+    )
+
+
+@query
+def folder_rejects(c: Corpus) -> DataFrame:
+    return _loaded_files(c)[1]
+
+
 @query
 def keyword_like(c: Corpus) -> DataFrame:
     return c.containing_needle().select("id", "category")
