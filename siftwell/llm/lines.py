@@ -9,9 +9,10 @@ one pair for each run and document at most, however many documents share the run
 is aligned by patience diff: lines that are unique in both texts are anchors, the longest
 increasing run of anchors is kept, matches grow from them, and the gaps are
 searched again. Aligned blocks of enough words are deleted from the later document. An
-alignment keeps one order and one partner of each line; blocks that stand in another order
-or that either text repeats are found by the runs that it left and that the earlier
-document has. So a line goes if, and only if, it is in a common block of enough words.
+alignment keeps one order and one partner of each line, so what is left of the later
+document is aligned again around the runs that the earlier one has too, until none of them is
+left: blocks in another order, and blocks that either text repeats. So a line goes if,
+and only if, it is in an aligned common block of enough words.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from siftwell.llm import arrays as ar
 
 #: Words of a block that is deleted, at least.
 BLOCK_WORDS = 20
+#: Lines on either side of a run that are aligned with it.
+AROUND = 32
 #: Rows of a batch while texts are rewritten, at most.
 BATCH_ROWS = 2000
 #: Bytes that end a sentence where a blank follows.
@@ -161,20 +164,33 @@ def _keys(hashes: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray
 
 
 def shared_lines(own: np.ndarray, words: np.ndarray, other: np.ndarray, other_words: np.ndarray, least: int) -> np.ndarray:
-    """Which lines of ``own`` are in a block of ``least`` words that ``other`` has too."""
+    """Which lines of ``own`` are in an aligned block of ``least`` words that ``other`` has too.
+
+    The whole texts are aligned first. An alignment keeps one order and one partner of each line, so
+    what it left is aligned again where a run of it stands in ``other``: with the lines around
+    both places, then the run alone, until no run with a line that is left is common.
+    """
     gone = np.zeros(len(own), bool)
-    for p, _, n in patience(own.tolist(), other.tolist()):
-        if words[p : p + n].sum() >= least:
-            gone[p : p + n] = True
+    a, b = own.tolist(), other.tolist()
+
+    def align(p: int, q: int, x: int, y: int) -> None:
+        for i, _, n in patience(a[p:q], b[x:y]):
+            if words[p + i : p + i + n].sum() >= least:
+                gone[p + i : p + i + n] = True
+
+    align(0, len(a), 0, len(b))
     if gone.all():
         return gone
-    # Runs with a line that is left: what was moved or is repeated.
     key, first, end = _keys(own, words, least)
-    done = np.append(0, np.cumsum(gone))
-    left = done[end] - done[first] < end - first
-    left[left] = np.isin(key[left], _keys(other, other_words, least)[0])
-    for p, q in zip(first[left], end[left]):
-        gone[p:q] = True
+    there, start, stop = _keys(other, other_words, least)
+    order = np.argsort(there, kind="stable")
+    at = order[np.minimum(np.searchsorted(there[order], key), len(there) - 1)] if len(there) else np.zeros(len(key), np.int64)
+    common = np.flatnonzero(there[at] == key) if len(there) else np.zeros(0, np.int64)
+    for around in (AROUND, 0):
+        for k in common:
+            p, q, x, y = first[k], end[k], start[at[k]], stop[at[k]]
+            if not gone[p:q].all():
+                align(max(0, p - around), min(len(a), q + around), max(0, x - around), min(len(b), y + around))
     return gone
 
 

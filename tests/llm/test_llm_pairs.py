@@ -191,3 +191,38 @@ def test_lines_edge_cases(spark):
     got = lines.dedup_lines(data.documents(spark, data.EDGE)).collect()
     assert sorted((str(r["doc_id"]), r["deduped"]["text"] is None) for r in got) == sorted((str(i), t is None) for i, t in data.EDGE)
     assert lines.dedup_lines(data.documents(spark, [])).count() == 0
+
+
+def plain_shared(own, words, other, least):
+    """Lines of a common block, by trying all pairs of places."""
+    gone = [False] * len(own)
+    for i in range(len(own)):
+        for j in range(len(other)):
+            n = 0
+            while i + n < len(own) and j + n < len(other) and own[i + n] == other[j + n]:
+                n += 1
+            if sum(words[i : i + n]) >= least:
+                gone[i : i + n] = [True] * n
+    return gone
+
+
+@pytest.mark.parametrize("kinds", [3, 8, 40])
+def test_alignment_finds_every_common_block(kinds):
+    rng = random.Random(kinds)
+    for _ in range(300):
+        own, other = ([rng.randrange(kinds) for _ in range(rng.randrange(1, 30))] for _ in range(2))
+        if rng.random() < 0.5:  # moved and repeated blocks
+            i = rng.randrange(len(own))
+            other = other + own[i:] + own[:i] + own[i:]
+        size = {h: rng.randrange(1, 9) for h in range(kinds)}
+        words, theirs = (np.array([size[h] for h in x]) for x in (own, other))
+        got = lines.shared_lines(np.array(own), words, np.array(other), theirs, 12)
+        assert got.tolist() == plain_shared(own, words, other, 12)
+
+
+def test_without_an_alignment_nothing_goes(spark, monkeypatch):
+    own = np.arange(10)
+    words = np.full(10, 5)
+    assert lines.shared_lines(own, words, own, words, 20).all()
+    monkeypatch.setattr(lines, "patience", lambda a, b: [])
+    assert not lines.shared_lines(own, words, own, words, 20).any()
