@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,9 @@ from siftwell.llm import arrays as ar
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 # Fixed values of the format: the mark of a space, types of pieces, types of models.
 SPACE, NORMAL, UNKNOWN, BYTE, USER, UNIGRAM, BPE = 0x2581, 1, 2, 6, 4, 1, 2
-#: Cells of a score table at a time; characters above which a word is merged with a queue; bytes of a slice.
-CELLS, LONG, SLICE = 1 << 19, 96, 1 << 20
+#: Cells of a score table at a time; characters above which a word is cut, and merged with a queue where it can't be;
+#: characters of a long word that are looked up at a time; bytes of a slice.
+CELLS, LONG, STRETCH, SLICE = 1 << 19, 96, 1 << 14, 1 << 20
 U64 = np.uint64
 NONE = np.float32(-np.inf)
 
@@ -207,8 +208,34 @@ def _viterbi(model: PieceModel, ids: np.ndarray, scores: np.ndarray) -> tuple[np
     return word[order], start[order]
 
 
+def _uncrossed(model: PieceModel, points: np.ndarray) -> np.ndarray:
+    """Places inside a long word that no piece reaches across; either kind of model cuts there."""
+    size, crossed = len(points), np.zeros(len(points) + 1, np.int64)
+    for lo in range(0, size, STRETCH):
+        ids, _ = _tables(model, points[None, lo : lo + STRETCH + model.longest])
+        start, more = np.nonzero(ids[0, : STRETCH, 1:] >= 0)
+        np.add.at(crossed, lo + start + 1, 1)
+        np.add.at(crossed, lo + start + more + 2, -1)
+    return np.flatnonzero(np.cumsum(crossed)[1:size] == 0) + 1
+
+
+def _cut_long(model: PieceModel, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, word of each part) of the words with the long ones cut where no piece reaches across."""
+    cuts = [bounds[i] + _uncrossed(model, points[bounds[i] : bounds[i + 1]]) for i in np.flatnonzero(np.diff(bounds) > LONG)]
+    if not cuts:
+        return bounds, np.arange(len(bounds) - 1)
+    new = np.union1d(bounds, np.concatenate(cuts))
+    return new, np.searchsorted(bounds, new[:-1], side="right") - 1
+
+
 def _encode_words(model: PieceModel, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, counts) of distinct words; word i has the code points bounds[i] to bounds[i+1]."""
+    parts, owner = _cut_long(model, points, bounds)
+    ids, counts = _encode_parts(model, points, parts)
+    return ids, np.bincount(owner, counts, len(bounds) - 1).astype(np.int64)
+
+
+def _encode_parts(model: PieceModel, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(bounds)
     of_word, of_start, of_id = [], [], []
     for size in np.unique(sizes):
@@ -334,27 +361,43 @@ def decoder(docs: DataFrame, model: PieceModel):
     return decode
 
 
+def path_scores(model: PieceModel, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the scores of each row's pieces; what has no piece counts as in the search."""
+    missing = float(model.scores[model.key_ids].min() - 10)
+    lost = model.is_byte[ids] | (ids == model.unknown)
+    # The bytes of one character count once: those that continue it are free.
+    first = (model.bytes[np.minimum(model.places[ids], len(model.bytes) - 1)] & 0xC0) != 0x80
+    value = np.where(lost, np.where(first | ~model.is_byte[ids], missing, 0.0), model.scores[ids].astype(np.float64))
+    total = np.append(0.0, np.cumsum(value))
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 def digest(docs: DataFrame, model: PieceModel) -> Column:
-    """Of each text: (n_tokens, n_byte_tokens, ids_crc32 of the ids as little-endian 32-bit numbers, round_trip); null counts as empty."""
+    """Of each text, null counting as empty: (n_tokens, n_byte_tokens, ids_crc32 of the ids as little-endian 32-bit numbers,
+    round_trip) of the model's own encoding, and (n_viterbi, viterbi_crc32, viterbi_score) of the path of the
+    highest total score over the same pieces, which for a unigram model is the same path."""
     import zlib
 
     runtime.ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, replace(model, kind=UNIGRAM)))
+    names = ("n_tokens", "n_byte_tokens", "ids_crc32", "round_trip", "n_viterbi", "viterbi_crc32", "viterbi_score")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
 
-    @arrow_udf("n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean")
+    @arrow_udf("n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean, n_viterbi long, viterbi_crc32 long, viterbi_score double")
     @ar.tidy
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model, by_score = shared.value
         for texts in batches:
             rows: list[tuple] = []
             for _, _, offsets, data in ar.text_slices(texts, SLICE):
                 ids, bounds = encode_slice(model, offsets, data)
+                best, ends = (ids, bounds) if model.kind == UNIGRAM else encode_slice(by_score, offsets, data)
+                scores = path_scores(model, best, ends)
                 raw, as_bytes = data.tobytes(), np.append(0, np.cumsum(model.is_byte[ids]))
                 for i, text in enumerate(decode_slice(model, ids, bounds)):
-                    a, b = bounds[i], bounds[i + 1]
+                    a, b, c, d = bounds[i], bounds[i + 1], ends[i], ends[i + 1]
                     same = text.encode(errors="replace") == raw[offsets[i] : offsets[i + 1]].replace(chr(SPACE).encode(), b" ")
-                    rows.append((b - a, as_bytes[b] - as_bytes[a], zlib.crc32(ids[a:b].tobytes()), same))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["n_tokens", "n_byte_tokens", "ids_crc32", "round_trip"])
+                    rows.append((b - a, as_bytes[b] - as_bytes[a], zlib.crc32(ids[a:b].tobytes()), same, d - c, zlib.crc32(best[c:d].tobytes()), round(scores[i], 4)))
+            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], list(names))
 
     return measure(F.col("text"))

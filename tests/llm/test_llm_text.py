@@ -191,3 +191,56 @@ def test_viterbi_finds_the_best_path():
             assert pieces.decode_slice(model, ids, np.array([0, len(ids)])) == ["".join(letters)]
     ids, _ = pieces.encode_slice(model, np.array([0, 3]), np.frombuffer(b"azb", np.uint8))
     assert 0 in ids  # a character without a piece
+
+
+def plain_viterbi(model, own, text):
+    """(ids, score) by a search over the whole text; of equal paths the one whose last piece is longest."""
+    text = (" " if model.dummy_prefix and text else "") + text
+    missing = float(model.scores[model.key_ids].min() - 10)
+    best, back = [0.0], [None]
+    for end in range(1, len(text) + 1):
+        found = []
+        for n in range(1, min(end, model.longest) + 1):
+            i = own.get(text[end - n : end])
+            if i is not None or n == 1:
+                found.append((best[end - n] + (float(model.scores[i]) if i is not None else missing), n, i))
+        score, n, i = max(found, key=lambda f: f[:2])
+        best.append(score)
+        back.append((n, i))
+    ids, end = [], len(text)
+    while end:
+        n, i = back[end]
+        ids.append([i] if i is not None else [int(model.byte_ids[b]) for b in text[end - n : end].encode()])
+        end -= n
+    return [i for part in reversed(ids) for i in part], best[-1]
+
+
+@MODEL
+def test_viterbi_of_whole_texts(spark):
+    from dataclasses import replace
+
+    model = pieces.load_model()
+    sf = "/root/testdata/sf0.001/documents.parquet"
+    texts = [r["text"] for r in spark.read.parquet(sf).limit(60).collect()] if __import__("os").path.exists(sf) else []
+    texts += [t for _, t in data.EDGE[:7]] + ["日本語の文章は空白がない" * 40, "x" * 300 + "日本" + "qz" * 200, "\U0001F600" * 150, "a\nb  c\n\n d", None, ""]
+    docs = data.documents(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r["d"] for r in docs.select("doc_id", pieces.digest(docs, model).alias("d")).collect()}
+    own = {model.pieces[i].decode(): i for i in model.key_ids.tolist()}
+    for i, text in enumerate(texts):
+        ids, score = plain_viterbi(model, own, (text or "").replace(chr(pieces.SPACE), " "))
+        assert got[i]["n_viterbi"] == len(ids) and got[i]["viterbi_score"] == pytest.approx(score, abs=1e-3), i
+        assert got[i]["viterbi_crc32"] == zlib.crc32(np.array(ids, np.int32).tobytes()), i
+    assert len(got) == len(texts) and replace(model, kind=pieces.UNIGRAM).longest == model.longest
+
+
+@MODEL
+def test_long_words_are_cut_where_no_piece_reaches(monkeypatch):
+    import sentencepiece
+
+    model, library = pieces.load_model(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    for stretch in (pieces.STRETCH, 40):
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        for text in ("日本語の文章は空白がない" * 40, "abcdefgh" * 60 + "漢字" + "thethe" * 50, "\U0001F600é" * 200):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ids, _ = pieces.encode_slice(model, np.array([0, len(raw)]), raw)
+            assert ids.tolist() == library.encode(text)
