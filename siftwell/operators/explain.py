@@ -76,16 +76,14 @@ def match_terms(rows: DataFrame, text: Column) -> DataFrame:
     Matching is by substring and counts are literal occurrences, both without
     regard to letter case; duplicates of a query term stay in the lists.
     """
-    terms = F.col("terms")
-    distinct = F.array_distinct(terms)
-    found = tx.let(F.lower(text), lambda t: F.filter(terms, lambda w: F.contains(t, w)))
-    absent = tx.let(F.lower(text), lambda t: F.filter(terms, lambda w: ~F.contains(t, w)))
-    counts = tx.let(
-        F.lower(text), lambda t: F.transform(distinct, lambda w: tx.literal_count(t, w))
-    )
-    return rows.select(
-        "*", found.alias("matched_terms"), absent.alias("missing_terms"),
-        F.map_from_arrays(distinct, counts).alias("term_counts"),
+    distinct = F.array_distinct("terms")
+    # Each text is lower-cased and searched once for each term; the counts say which terms match.
+    counts = tx.let(F.lower(text), lambda t: F.transform(distinct, lambda w: tx.literal_count(t, w)))
+    counted = rows.withColumn("term_counts", F.map_from_arrays(distinct, counts))
+    n = lambda w: F.col("term_counts")[w]
+    return counted.select(
+        *rows.columns, F.filter("terms", lambda w: n(w) > 0).alias("matched_terms"),
+        F.filter("terms", lambda w: n(w) == 0).alias("missing_terms"), "term_counts",
     )
 
 

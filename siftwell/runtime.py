@@ -22,12 +22,14 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as configured by the cluster.
 
-    A temporary folder is used only where the setting is absent, which is the
-    case in tests on one machine.
+    A temporary folder is used only where the setting is absent and all tasks run on this
+    machine, as in tests; on a cluster its files would be missing elsewhere.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="siftwell-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

@@ -7,7 +7,7 @@ the corpus, the postings and the ranked lists serves all of them.
 from __future__ import annotations
 
 from workload import stems
-from workload.tables import BM25_THRESHOLD, NEEDLE, PHRASE, RRF_THRESHOLD, VECTOR_THRESHOLD
+from workload.tables import BM25_THRESHOLD, NEEDLE, PHRASE, RARE_NEEDLE, RRF_THRESHOLD, VECTOR_THRESHOLD
 
 NW = r"[^\p{L}\p{N}_]+"
 WORD = r"^[\p{L}\p{N}_]+$"
@@ -223,6 +223,8 @@ SQL: dict[str, str] = {
                WHEN value LIKE '---%' THEN 'missing closing marker' ELSE 'missing front matter' END AS error
         FROM files WHERE lang NOT IN ('en', 'fr')"""),
     "keyword_like": with_parts(["docs"], f"SELECT id, category FROM docs WHERE lower(content) LIKE '%{NEEDLE}%'"),
+    "keyword_like_indexed": with_parts(["docs"], " UNION ALL ".join(
+        f"SELECT id, category, '{n}' AS needle FROM docs WHERE contains(lower(content), lower('{n}'))" for n in (NEEDLE, RARE_NEEDLE))),
     "shortest_matching": with_parts(["docs"], f"""
         SELECT id, word_count FROM docs WHERE lower(content) LIKE '%{NEEDLE}%' ORDER BY word_count, id"""),
     "keyword_mass": with_parts(["docs"], f"""

@@ -142,6 +142,13 @@ def keyword_like(c: Corpus) -> DataFrame:
     return c.containing_needle().select("id", "category")
 
 
+@query
+def keyword_like_indexed(c: Corpus) -> DataFrame:
+    """Two searches, one for a frequent and one for a rare substring, among the documents that the trigrams name."""
+    found = lambda needle: c.containing(needle).select("id", "category", F.lit(needle).alias("needle"))
+    return found(tb.NEEDLE).unionByName(found(tb.RARE_NEEDLE))
+
+
 @query
 def shortest_matching(c: Corpus) -> DataFrame:
     rows = c.containing_needle().select("id", F.col("word_count").cast("long").alias("word_count"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftwell import runtime
 from siftwell.functions import text as tx
-from siftwell.operators import bounded, dense, embed
+from siftwell.operators import bounded, dense, embed, substring
 from siftwell.operators import cells as cl
 from siftwell.operators.analyze import Analyzer
 from siftwell.operators.batch import QueryBatch
@@ -25,6 +25,7 @@ TERM_BUCKETS = 8
 N_CELLS = 16
 # Phrases looked for in the corpus, thresholds of the queries.
 NEEDLE = "tion"
+RARE_NEEDLE = "NERING"
 PHRASE = "the"
 BM25_THRESHOLD = 30.0
 VECTOR_THRESHOLD = 25.0
@@ -169,6 +170,12 @@ class Corpus:
     def spam_ids(self) -> DataFrame:
         return self.table("labels").filter(F.col("quality") == 0).select("doc_id")
 
+    def trigrams(self) -> substring.TrigramIndex:
+        return self._once("trigrams", lambda: substring.save_trigrams(self.documents(), f"{self.base}/content"))
+
+    def containing(self, needle: str) -> DataFrame:
+        return substring.containing(self.documents(), self.trigrams(), needle)
+
     def containing_needle(self) -> DataFrame:
         return self.documents().filter(tx.has_substring("content", NEEDLE))
 
