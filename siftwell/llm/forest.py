@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from siftwell import runtime
 from siftwell.llm.components import connected_components
 
-# Trees, half the width of the overlap at a split, vectors of a leaf aimed at and of a block at most.
-TREES, OVERLAP, LEAF, BLOCK = 6, 0.02, 256, 2048
+# Trees, half the width of the overlap at a split times the root of the dimension (projections of
+# unit vectors shrink with it), vectors of a leaf aimed at and of a block at most.
+TREES, OVERLAP, LEAF, BLOCK = 6, 0.16, 256, 2048
 #: Vectors that the splits are fitted on, and of them in a leaf, at least.
 SAMPLE, LEAST = 20_000, 8
 #: Components of vectors that are sent down the trees at a time.
@@ -41,12 +42,12 @@ class Forest:
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) for every leaf each unit vector belongs to."""
-        rows, leaves = [], []
+        rows, leaves, overlap = [], [], OVERLAP / np.sqrt(x.shape[1])
         for tree in range(len(self.directions)):
             row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
             for _ in range(self.depth):
                 side = np.einsum("ij,ij->i", x[row], self.directions[tree][node]) - self.thresholds[tree][node]
-                left, right = side <= OVERLAP, side > -OVERLAP
+                left, right = side <= overlap, side > -overlap
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
             rows.append(row)
             leaves.append(node - (2**self.depth - 1) + tree * 2**self.depth)
@@ -172,14 +173,17 @@ def vector_links(vectors: DataFrame, least: float = 0.9, trees: int = TREES, lea
     """(vec_id, n_links, component_id, kept) for every row of ``vec_id``, ``embedding``.
 
     n_links counts the other rows linked directly, equal vectors included. A vector that is null or
-    empty, has null or non-finite components, or is zero, links with nothing. All vectors
-    that can be compared have one length. Rows with one vec_id are rows of their own.
+    empty, has null or non-finite components, or is zero, links with nothing, and so does one of
+    another length than most have (of lengths equally frequent the shorter counts). Rows with
+    one vec_id are rows of their own.
     """
     spark = vectors.sparkSession
     runtime.ship_package(spark)
     e = F.col("embedding")
     fine = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("valid", F.coalesce(fine, F.lit(False)))
+    usual = rows.filter("valid").groupBy(F.size(e).alias("dims")).count().orderBy(F.desc("count"), "dims").first()
+    rows = rows.withColumn("valid", F.col("valid") & (F.size(e) == (usual["dims"] if usual else 0)))
     # -0.0 and 0.0 are one number.
     same = F.transform("embedding", lambda v: F.when(v == 0, v * 0 + F.lit(0).cast("float")).otherwise(v))
     valid = rows.filter("valid").select("vec_id", same.alias("embedding"))

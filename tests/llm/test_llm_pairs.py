@@ -226,3 +226,29 @@ def test_without_an_alignment_nothing_goes(spark, monkeypatch):
     assert lines.shared_lines(own, words, own, words, 20).all()
     monkeypatch.setattr(lines, "patience", lambda a, b: [])
     assert not lines.shared_lines(own, words, own, words, 20).any()
+
+
+@pytest.mark.parametrize("dims", [64, 768, 1536])
+def test_leaves_do_not_grow_with_the_dimension(dims):
+    rng = np.random.default_rng(dims)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(4000, dims)))
+    away = rng.normal(size=(300, dims))
+    away = unit(away - (away * x[:300]).sum(axis=1, keepdims=True) * x[:300])
+    cosine = rng.uniform(0.90, 0.92, (300, 1))
+    every = np.concatenate([x, cosine * x[:300] + np.sqrt(1 - cosine**2) * away])
+    grown = forest.fit_forest(every, len(every), leaf=16)
+    assert grown.depth >= 8
+    row, leaf = grown.leaves(every)
+    assert len(row) / len(every) <= 30
+    order = np.argsort(row, kind="stable")
+    at = np.searchsorted(row[order], np.arange(len(every) + 1))
+    held = [set(leaf[order][a:b]) for a, b in zip(at[:-1], at[1:])]
+    assert np.mean([bool(held[i] & held[4000 + i]) for i in range(300)]) >= 0.95
+
+
+def test_vectors_of_another_length_link_with_nothing(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.vector_links(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6)}
