@@ -42,7 +42,7 @@ def main() -> None:
     c = corpus(spark, sf_dir)
     build: dict[str, float] = {}
     for name, make in [("documents", c.documents), ("index", c.index), ("content_index", c.content_index),
-                       ("english_index", c.english_index), ("cells", c.cells)]:
+                       ("english_index", c.english_index), ("cell_index", c.cell_index)]:
         start = time.perf_counter()
         make()
         build[name] = round(time.perf_counter() - start, 3)

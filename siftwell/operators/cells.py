@@ -252,26 +252,35 @@ def _ranked_exactly(index: CellIndex, pairs: DataFrame, batch: QueryBatch, ids:
     return joined.select("query_id", "doc_id", "embedding").mapInArrow(score, NEIGHBOURS)
 
 
+def _probe(index: CellIndex, k: int, n_probe: int | None, rerank: int | None) -> tuple[int, int]:
+    n_probe = min(n_probe or max(1, -(-len(index.centres) // 2)), len(index.centres))
+    return n_probe, max(k, rerank or 10 * k)
+
+
 def approximate_topk(index: CellIndex, batch: QueryBatch, k: int = 10, n_probe: int | None = None, rerank: int | None = None) -> DataFrame:
-    """Approximate nearest documents: ``query_id, doc_id, distance, similarity, rank, n_exact``.
+    """Approximate nearest documents: ``query_id, doc_id, distance, similarity, rank``.
 
     ``n_probe`` cells are searched by code (half of the cells where not given), and the ``rerank`` most
-    promising vectors (ten for each result) are ranked by their true distance; ``n_exact`` is their number.
+    promising vectors (ten for each result) are ranked by their true distance.
     """
-    n_probe = min(n_probe or max(1, -(-len(index.centres) // 2)), len(index.centres))
-    rerank = max(k, rerank or 10 * k)
+    n_probe, rerank = _probe(index, k, n_probe, rerank)
     parts = []
     for ids, queries in _query_blocks(batch, index.dims):
-        if not len(ids):
-            continue
-        pairs = runtime.write_scratch(_promising(index, ids, queries, n_probe, rerank), "promising")
-        counts = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"))
-        best = topk.top_k(_ranked_exactly(index, pairs, batch, ids, queries, rerank), k, "distance", descending=False)
-        parts.append(best.join(batch.per_query(counts), "query_id"))
-    found = _union(parts, index.table.sparkSession, "query_id long, doc_id long, distance double, rank long, n_exact long")
+        if len(ids):
+            pairs = _promising(index, ids, queries, n_probe, rerank)
+            parts.append(_ranked_exactly(index, pairs, batch, ids, queries, rerank))
+    found = topk.top_k(_union(parts, index.table.sparkSession, NEIGHBOURS), k, "distance", descending=False)
     return found.withColumn("similarity", sc.similarity(F.col("distance")))
 
 
+def ranked_counts(index: CellIndex, batch: QueryBatch, k: int = 10, n_probe: int | None = None, rerank: int | None = None) -> DataFrame:
+    """``query_id, n_exact``: how many vectors ``approximate_topk`` ranks by their true distance."""
+    n_probe, rerank = _probe(index, k, n_probe, rerank)
+    parts = [_promising(index, ids, queries, n_probe, rerank) for ids, queries in _query_blocks(batch, index.dims) if len(ids)]
+    pairs = _union(parts, index.table.sparkSession, "query_id long, doc_id long")
+    return pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_exact"))
+
+
 # -- exact, with cells left out --------------------------------------------------
 
 

@@ -400,14 +400,14 @@ def vector_pruned_topk(c: Corpus) -> DataFrame:
     return near.select("query_id", "doc_id", "rank", *rounded("distance", "similarity"))
 
 
-def _approximate(c: Corpus) -> DataFrame:
-    index = c.cell_index()
-    return cl.approximate_topk(index, c.keyword_queries(), K, rerank=tb.rerank(index.n_vectors(), K))
+def _rerank(c: Corpus) -> int:
+    return tb.rerank(c.cell_index().n_vectors(), K)
 
 
 @query
 def ann_topk(c: Corpus) -> DataFrame:
-    return _approximate(c).select("query_id", "doc_id", "rank", *rounded("distance", "similarity"))
+    near = cl.approximate_topk(c.cell_index(), c.keyword_queries(), K, rerank=_rerank(c))
+    return near.select("query_id", "doc_id", "rank", *rounded("distance", "similarity"))
 
 
 @query
@@ -421,8 +421,10 @@ def ann_all_cells(c: Corpus) -> DataFrame:
 @query
 def ann_recall(c: Corpus) -> DataFrame:
     """Recall, and the share of the vectors that were ranked by their true distance."""
-    near = runtime.write_scratch(_approximate(c), "approximate")
-    share = near.groupBy("query_id").agg((F.max("n_exact") / F.lit(c.cell_index().n_vectors())).alias("read_share"))
+    index, batch = c.cell_index(), c.keyword_queries()
+    near = cl.approximate_topk(index, batch, K, rerank=_rerank(c))
+    reads = cl.ranked_counts(index, batch, K, rerank=_rerank(c))
+    share = reads.select("query_id", (F.col("n_exact") / F.lit(index.n_vectors())).alias("read_share"))
     return dense.recall(near, _nearest(c)).join(share, "query_id", "left").select("query_id", *rounded("recall", "read_share"))
 
 
