@@ -34,7 +34,7 @@ from siftwell.llm import arrays as ar
 BLOCK_WORDS = 20
 #: Lines on either side of a run that are aligned with it.
 AROUND = 32
-#: Rows of a batch while texts are rewritten, at most.
+#: Rows of a batch while texts are read and rewritten, at most.
 BATCH_ROWS = 2000
 #: Bytes that end a sentence where a blank follows.
 STOP = np.zeros(256, bool)
@@ -273,6 +273,10 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, into: str = "de
     loses nothing is returned byte for byte; one that loses all its lines becomes empty.
     """
     runtime.ship_package(docs.sparkSession)
+    # Texts go to Python and come back; a batch of the default 10,000 rows would hold them many times over.
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(docs.sparkSession.conf.get(rows))
+    docs.sparkSession.conf.set(rows, str(now if 0 < now < BATCH_ROWS else BATCH_ROWS))
     cuts = common_blocks(docs, block_words)
     size = cuts.agg(F.sum(F.lit(48) + 4 * F.size("cuts"))).first()[0] or 0
     names = [F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.col("cuts").alias("_cuts")]
@@ -284,10 +288,6 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, into: str = "de
         for texts, found in batches:
             yield _apply(texts, found)
 
-    # Texts go to Python and come back; a batch of the default 10,000 rows would hold them many times over.
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(docs.sparkSession.conf.get(rows))
-    docs.sparkSession.conf.set(rows, str(now if 0 < now < BATCH_ROWS else BATCH_ROWS))
     # Not deterministic in name only: a filter on the result must not evaluate it a second time.
     apply = arrow_udf(ar.tidy(apply), "text string, n_lines long, n_removed long, removed_words long").asNondeterministic()
     on = (docs["doc_id"].cast("long") == side["_id"]) & (F.xxhash64(docs["text"]) == side["_fp"])
