@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -189,23 +189,27 @@ def _viterbi(model: PieceModel, ids: np.ndarray, scores: np.ndarray) -> tuple[np
     """(word, start) of the tokens on the best path; of equal paths the one whose last piece is longest."""
     n, size, most = scores.shape
     missing = model.scores[model.key_ids].min() - 10
-    scores = scores.astype(np.float64)
-    scores[:, :, 0] = np.where(ids[:, :, 0] < 0, missing, scores[:, :, 0])
-    best, back = np.zeros((n, size + 1)), np.zeros((n, size + 1), np.int64)
+    # By end instead of start, the longest piece first: what an end compares lies side by side.
+    by_end = np.full((n, size + 1, most), -np.inf)
+    for length in range(2, most + 1):
+        by_end[:, length:, most - length] = scores[:, : size - length + 1, length - 1]
+    by_end[:, 1:, most - 1] = np.where(ids[:, :, 0] < 0, missing, scores[:, :, 0])
+    best, back, rows = np.zeros((n, size + 1)), np.zeros((n, size + 1), np.int64), np.arange(n)
     for end in range(1, size + 1):
-        lengths = np.arange(min(end, most), 0, -1)
-        value = best[:, end - lengths] + scores[:, end - lengths, lengths - 1]
+        reach = min(end, most)
+        value = best[:, end - reach : end] + by_end[:, end, most - reach :]
         pick = value.argmax(axis=1)
-        best[:, end], back[:, end] = value[np.arange(n), pick], end - lengths[pick]
-    word, start, who, end = [], [], np.arange(n), np.full(n, size)
+        best[:, end], back[:, end] = value[rows, pick], end - reach + pick
+    word, start, who, end = [], [], rows, np.full(n, size)
     while len(who):
         begin = back[who, end]
         word.append(who)
         start.append(begin)
         who, end = who[begin > 0], begin[begin > 0]
     word, start = np.concatenate(word), np.concatenate(start)
-    order = np.lexsort((start, word))
-    return word[order], start[order]
+    # Tokens were found from the last to the first.
+    order = np.argsort(word[::-1], kind="stable")
+    return word[::-1][order], start[::-1][order]
 
 
 def _uncrossed(model: PieceModel, points: np.ndarray) -> np.ndarray:
@@ -228,39 +232,42 @@ def _cut_long(model: PieceModel, points: np.ndarray, bounds: np.ndarray) -> tupl
     return new, np.searchsorted(bounds, new[:-1], side="right") - 1
 
 
-def _encode_words(model: PieceModel, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, counts) of distinct words; word i has the code points bounds[i] to bounds[i+1]."""
+def _encode_words(model: PieceModel, points: np.ndarray, bounds: np.ndarray, kinds: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, counts) of distinct words by each kind of model; word i has the code points bounds[i] to bounds[i+1]."""
     parts, owner = _cut_long(model, points, bounds)
-    ids, counts = _encode_parts(model, points, parts)
-    return ids, np.bincount(owner, counts, len(bounds) - 1).astype(np.int64)
-
-
-def _encode_parts(model: PieceModel, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.diff(bounds)
-    of_word, of_start, of_id = [], [], []
+    sizes = np.diff(parts)
+    found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in kinds]
     for size in np.unique(sizes):
         own = np.flatnonzero(sizes == size)
         step = max(1, CELLS // int(size * min(size, model.longest)))
         for lo in range(0, len(own), step):
             some = own[lo : lo + step]
-            matrix = points[bounds[some][:, None] + np.arange(size)]
-            if size > LONG and model.kind == BPE:
-                held = [_merge_long(model, row) for row in matrix]
-                word, start = np.repeat(np.arange(len(some)), [len(h) for h in held]), np.concatenate(held).astype(np.int64)
-                ids = _tables(model, matrix)[0]
-            else:
-                ids, scores = _tables(model, matrix)
-                word, start = _merge(scores) if model.kind == BPE else _viterbi(model, ids, scores)
-            last = np.append(word[1:] != word[:-1], True)
-            length = np.where(last, size, np.append(start[1:], 0)) - start
-            of_word.append(some[word])
-            of_start.append(start)
-            of_id.append(ids[word, start, length - 1])
-    word, start, ids = np.concatenate(of_word), np.concatenate(of_start), np.concatenate(of_id)
-    order = np.argsort(word, kind="stable")
-    word, start, ids = word[order], start[order], ids[order]
+            matrix = points[parts[some][:, None] + np.arange(size)]
+            ids, scores = _tables(model, matrix)
+            for kind, out in zip(kinds, found):
+                if kind == UNIGRAM:
+                    word, start = _viterbi(model, ids, scores)
+                elif size <= LONG:
+                    word, start = _merge(scores)
+                else:
+                    held = [_merge_long(model, row) for row in matrix]
+                    word, start = np.repeat(np.arange(len(some)), [len(h) for h in held]), np.concatenate(held).astype(np.int64)
+                last = np.append(word[1:] != word[:-1], True)
+                length = np.where(last, size, np.append(start[1:], 0)) - start
+                out.append((some[word], start, ids[word, start, length - 1]))
+    every = []
+    for out in found:
+        word, start, ids = (np.concatenate(c) for c in zip(*out))
+        order = np.argsort(word, kind="stable")
+        ids, counts = _with_bytes(model, points, parts, word[order], start[order], ids[order])
+        every.append((ids, np.bincount(owner, counts, len(bounds) - 1).astype(np.int64)))
+    return every
+
+
+def _with_bytes(model: PieceModel, points: np.ndarray, bounds: np.ndarray, word: np.ndarray, start: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts by word), with characters that have no piece as their bytes or as the unknown piece."""
     lone = np.flatnonzero(ids < 0)
-    if len(lone):  # a character without a piece: its bytes, or the unknown piece
+    if len(lone):
         chars = [chr(c).encode() if model.byte_ids.max() != model.unknown or c == -1 else b"\0" for c in points[bounds[word[lone]] + start[lone]]]
         counts = np.ones(len(ids), np.int64)
         counts[lone] = [len(c) for c in chars]
@@ -268,7 +275,7 @@ def _encode_parts(model: PieceModel, points: np.ndarray, bounds: np.ndarray) ->
         word, ids = np.repeat(word, counts), np.repeat(ids, counts)
         new = model.byte_ids[np.frombuffer(b"".join(chars), np.uint8)]
         ids[np.concatenate([np.arange(a, a + n) for a, n in zip(at[lone], counts[lone])])] = new
-    return ids.astype(np.int32), np.bincount(word, minlength=len(sizes))
+    return ids.astype(np.int32), np.bincount(word, minlength=len(bounds) - 1)
 
 
 def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -282,6 +289,11 @@ def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def encode_slice(model: PieceModel, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds by row) of the texts of a slice."""
+    return encode_both(model, offsets, data, (model.kind,))[0]
+
+
+def encode_both(model: PieceModel, offsets: np.ndarray, data: np.ndarray, kinds: tuple[int, ...] = (BPE, UNIGRAM)) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same for several kinds of model over the same pieces, from one table of substring scores."""
     sizes = np.diff(offsets)
     if model.dummy_prefix:  # a space before every text that is not empty
         filled = sizes > 0
@@ -290,7 +302,7 @@ def encode_slice(model: PieceModel, offsets: np.ndarray, data: np.ndarray) -> tu
         wide[np.arange(len(data)) + np.repeat(shift, sizes)] = data
         offsets, data = offsets + np.append(0, shift), wide
     if not len(data):
-        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        return [(np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)) for _ in kinds]
     blank, newline = data == 32, data == 10
     cut = newline.copy()
     cut[1:] |= newline[:-1] | (blank[1:] & ~blank[:-1])
@@ -302,12 +314,14 @@ def encode_slice(model: PieceModel, offsets: np.ndarray, data: np.ndarray) -> tu
     begin = np.cumsum(size) - size
     own = data[np.arange(size.sum()) + np.repeat(starts[first] - begin, size)]
     points, at = _code_points(own)
-    ids, counts = _encode_words(model, points, np.searchsorted(at, np.append(begin, len(own))))
-    held = np.cumsum(counts) - counts
-    many = counts[place]
-    total = np.cumsum(many)
-    out = ids[np.arange(total[-1]) + np.repeat(held[place] - (total - many), many)]
-    return out, np.append(0, total)[np.searchsorted(starts, offsets)]
+    out = []
+    for ids, counts in _encode_words(model, points, np.searchsorted(at, np.append(begin, len(own))), kinds):
+        held = np.cumsum(counts) - counts
+        many = counts[place]
+        total = np.cumsum(many)
+        of_rows = ids[np.arange(total[-1]) + np.repeat(held[place] - (total - many), many)]
+        out.append((of_rows, np.append(0, total)[np.searchsorted(starts, offsets)]))
+    return out
 
 
 def decode_slice(model: PieceModel, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
@@ -379,19 +393,18 @@ def digest(docs: DataFrame, model: PieceModel) -> Column:
     import zlib
 
     runtime.ship_package(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model, replace(model, kind=UNIGRAM)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ("n_tokens", "n_byte_tokens", "ids_crc32", "round_trip", "n_viterbi", "viterbi_crc32", "viterbi_score")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64())
 
     @arrow_udf("n_tokens long, n_byte_tokens long, ids_crc32 long, round_trip boolean, n_viterbi long, viterbi_crc32 long, viterbi_score double")
     @ar.tidy
     def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, by_score = shared.value
+        model = shared.value
         for texts in batches:
             rows: list[tuple] = []
             for _, _, offsets, data in ar.text_slices(texts, SLICE):
-                ids, bounds = encode_slice(model, offsets, data)
-                best, ends = (ids, bounds) if model.kind == UNIGRAM else encode_slice(by_score, offsets, data)
+                (ids, bounds), (best, ends) = encode_both(model, offsets, data, (model.kind, UNIGRAM))
                 scores = path_scores(model, best, ends)
                 raw, as_bytes = data.tobytes(), np.append(0, np.cumsum(model.is_byte[ids]))
                 for i, text in enumerate(decode_slice(model, ids, bounds)):

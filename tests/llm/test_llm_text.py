@@ -217,8 +217,6 @@ def plain_viterbi(model, own, text):
 
 @MODEL
 def test_viterbi_of_whole_texts(spark):
-    from dataclasses import replace
-
     model = pieces.load_model()
     sf = "/root/testdata/sf0.001/documents.parquet"
     texts = [r["text"] for r in spark.read.parquet(sf).limit(60).collect()] if __import__("os").path.exists(sf) else []
@@ -230,7 +228,7 @@ def test_viterbi_of_whole_texts(spark):
         ids, score = plain_viterbi(model, own, (text or "").replace(chr(pieces.SPACE), " "))
         assert got[i]["n_viterbi"] == len(ids) and got[i]["viterbi_score"] == pytest.approx(score, abs=1e-3), i
         assert got[i]["viterbi_crc32"] == zlib.crc32(np.array(ids, np.int32).tobytes()), i
-    assert len(got) == len(texts) and replace(model, kind=pieces.UNIGRAM).longest == model.longest
+    assert len(got) == len(texts)
 
 
 @MODEL
