@@ -42,7 +42,7 @@ def shard_of(key: Column | str, shards: int) -> Column:
 def write_sharded(docs: DataFrame, path: str, shards: int, key: str = "id") -> DataFrame:
     """Write documents into one folder for each shard of their key and open them."""
     rows = docs.withColumn("shard", shard_of(key, shards))
-    rows.repartition(shards, "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    rows.repartition(shards, "shard").write.mode("overwrite").partitionBy("shard").option("compression", runtime.CODEC).parquet(path)
     return open_sharded(docs.sparkSession, path, docs)
 
 
@@ -53,23 +53,29 @@ def open_sharded(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 def update_documents(docs: DataFrame, path: str, shards: int, upserts: DataFrame, deletes: DataFrame, key: str = "id") -> DataFrame:
     """Replace or add the rows ``upserts`` (columns of ``docs``) and remove the keys ``deletes``, in the shards they lie in.
 
-    A key that is in both is removed. The new rows are written aside before they replace the old
-    files of their folders, so that a lost task repeats and a failed run leaves the old rows.
+    A key that is in both is removed. The rows that stay are neither shuffled nor written aside:
+    they are read shard by shard and written once, beside the new ones, which come in a file of
+    their own. Spark keeps what it writes in a staging folder until the job has ended, so a lost
+    task repeats and a failed run leaves the old rows.
     """
     spark = docs.sparkSession
     gone = deletes.select(key).distinct()
-    new = upserts.select(*docs.columns).join(_small(gone), key, "left_anti")
+    new = upserts.select(*docs.columns).join(_small(gone), key, "left_anti").withColumn("shard", shard_of(key, shards))
+    new = runtime.write_scratch(new, "new-rows")
     touched = runtime.write_scratch(new.select(key).union(gone).distinct(), "touched-keys")
     # At most one value a shard; it prunes the folders that are read.
     named = [r[0] for r in touched.select(shard_of(key, shards)).distinct().collect()]
     old = spark.read.schema(docs.withColumn("shard", F.lit(0)).schema).parquet(path).filter(F.col("shard").isin(named))
     kept = old.join(_small(touched), key, "left_anti")
-    now = runtime.write_scratch(kept.unionByName(new.withColumn("shard", shard_of(key, shards))), "touched-shards")
+    now = kept.unionByName(new.repartition(max(1, len(named)), "shard"))
     # A shard that lost all its rows has nothing to write; its folder is emptied by a row-less file.
     held = {r[0] for r in now.select("shard").distinct().collect()}
-    now.repartition(max(1, len(named)), "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    (
+        now.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", runtime.CODEC)
+        .partitionBy("shard").parquet(path)
+    )
     for shard in sorted(set(named) - held):
-        now.limit(0).drop("shard").write.mode("overwrite").parquet(f"{path}/shard={shard}")
+        new.limit(0).drop("shard").write.mode("overwrite").parquet(f"{path}/shard={shard}")
     return open_sharded(spark, path, docs)
 
 

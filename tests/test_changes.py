@@ -79,6 +79,17 @@ def test_only_touched_shards_are_written(spark, base, tmp_path):
     assert changed_files and all(f"/shard={touched}/" in f for f in changed_files)
 
 
+def test_rows_that_stay_are_written_once(spark, base, tmp_path, monkeypatch):
+    docs, _ = base
+    path, aside, write = str(tmp_path / "docs"), [], runtime.write_scratch
+    table = segments.write_sharded(docs, path, 4)
+    monkeypatch.setattr(runtime, "write_scratch", lambda df, name: aside.append(write(df, name)) or aside[-1])
+    new, gone = frames(spark, [(3, "t", "c", "x")], [4])
+    table = segments.update_documents(table, path, 4, new, gone)
+    assert table.count() == len(FIRST) - 1
+    assert sum(df.count() for df in aside if "content" in df.columns) == 1
+
+
 def test_an_emptied_shard(spark, base, tmp_path):
     docs, _ = base
     path = str(tmp_path / "docs")
