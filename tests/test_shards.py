@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from siftwell import runtime
+from siftwell.operators.index import save_index
+from siftwell.sources import documents as src
 
 
 def test_shards_grow_with_rows_and_text_not_with_splits(spark):
@@ -13,3 +15,15 @@ def test_shards_grow_with_rows_and_text_not_with_splits(spark):
     assert runtime.default_shards(long, "text") == 10
     many = spark.range(0, 10, 1, 1).select("id", F.lit(None).cast("string").alias("text"))
     assert runtime.default_shards(many, "text") == spark.sparkContext.defaultParallelism
+
+
+def test_a_task_of_an_index_has_one_shard(spark):
+    """However few splits the documents would make, a task reads one bucket and writes no file of another."""
+    home = runtime.scratch_path(spark, "one-shard")
+    docs = src.inline_documents(spark, [(i, "t", f"w{i} x", "c") for i in range(300)]).drop("embedding")
+    docs = src.write_documents(docs, f"{home}/docs", "one_shard_docs", 24)
+    index = save_index(docs, f"{home}/index", "one_shard_index", term_buckets=1, shards=24)
+    tasks = index.postings.select(F.regexp_extract("_metadata.file_name", r"part-(\d+)-", 1).alias("task"), "_metadata.file_name")
+    found = tasks.groupBy("task").agg(F.count_distinct("file_name").alias("n")).collect()
+    assert len(found) == 24 and {r["n"] for r in found} == {1}
+    assert spark.conf.get("spark.sql.sources.bucketing.autoBucketedScan.enabled") == "true"
