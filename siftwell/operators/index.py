@@ -38,6 +38,7 @@ class LexicalIndex:
     analyzer: Analyzer
     term_buckets: int
     saved: bool = True
+    parts: tuple[DataFrame, ...] = ()   # the postings in tables that share no document, if they lie in several
 
     def n_docs(self):
         """Number of documents as a scalar subquery."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,12 @@ def match_scores(index: LexicalIndex, batch: QueryBatch, k1: float = sc.K1, b: f
     serve all of them. On a saved index the aggregate needs no exchange,
     because the postings are bucketed by document. ``within`` (a table of
     ``doc_id``, e.g. of documents that pass a LIKE filter) restricts the
-    documents; term statistics stay those of the whole corpus.
+    documents; term statistics stay those of the whole corpus. Postings that lie in
+    several tables are added up table by table, as each holds its documents whole.
     """
+    if index.parts:
+        each = [match_scores(replace(index, postings=p, parts=()), batch, k1, b, within) for p in index.parts]
+        return reduce(DataFrame.unionByName, each)
     terms = look_up_terms(index, batch.query_terms(index.analyzer), batch).select(
         "term_bucket", "term", "query_id", "n_terms", "idf"
     )

@@ -106,11 +106,23 @@ class SegmentedIndex:
         base = self.base.postings.select(*columns)
         if not self.segments:
             return base
+        return reduce(DataFrame.unionByName, self.parts())
+
+    def parts(self) -> tuple[DataFrame, DataFrame]:
+        """The postings that count, of the base and of the segments.
+
+        No document is in both: a change of it ends all its earlier postings, and rows without an id, which
+        no change can name, are put to the segments. The base keeps its buckets.
+        """
+        columns = ["term_bucket", "term", "doc_id", "tf", "doc_len", "positions"]
         kind = "term string, doc_id long, tf long, doc_len long, positions array<int>, term_bucket int"
-        every = base.withColumn("segment", F.lit(0)).unionByName(self._read("postings", kind).select(*columns, "segment"))
-        return every.join(_small(self._gone()), "doc_id", "left").filter(
+        gone = _small(self._gone())
+        live = lambda rows: rows.join(gone, "doc_id", "left").filter(
             F.col("since").isNull() | (F.col("segment") >= F.col("since"))
         ).select(*columns)
+        base = self.base.postings.select(*columns).withColumn("segment", F.lit(0))
+        later = self._read("postings", kind).select(*columns, "segment").unionByName(base.filter("doc_id is null"))
+        return live(base.filter("doc_id is not null")), live(later)
 
     def merged(self) -> LexicalIndex:
         """An index over the documents as they are now, for every operator that reads one."""
@@ -123,7 +135,10 @@ class SegmentedIndex:
         summed = self.base.term_stats.select("term_bucket", "term", "doc_freq").unionByName(changes).groupBy("term_bucket", "term").agg(F.sum("doc_freq").alias("doc_freq"))
         stats = summed.filter("doc_freq > 0").withColumn("idf", sc.idf(corpus.select("n_docs").scalar(), F.col("doc_freq")))
         # Not "saved": the terms that a batch asks for are picked before the counts are added up.
-        return LexicalIndex(self.postings(), stats, corpus, self.base.analyzer, self.base.term_buckets, saved=False)
+        parts = self.parts()
+        return LexicalIndex(
+            reduce(DataFrame.unionByName, parts), stats, corpus, self.base.analyzer, self.base.term_buckets, saved=False, parts=parts
+        )
 
     def apply(self, known: DataFrame, upserts: DataFrame, deletes: DataFrame) -> "SegmentedIndex":
         """A further segment: ``upserts`` are new or changed documents, ``deletes`` ids; an id in both is removed.

@@ -66,6 +66,16 @@ def test_segments_are_an_index_of_the_documents_as_they_are(spark, base):
     assert len(live.fold().segments) == 1
 
 
+def test_scores_over_segments_leave_the_base_where_it_lies(spark, base, capsys):
+    """What is shuffled by document is the changes; the buckets of the base serve as they are."""
+    docs, index = base
+    live = segments.open_segments(index, f"{runtime.scratch_path(spark, 'changes-plan')}/segments").apply(docs, *frames(spark, *ROUNDS[0]))
+    batch = QueryBatch.measure(spark.createDataFrame(QUERIES, "query_id long, query string"))
+    lexical.match_scores(live.merged(), batch).explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(query_id") == 1 and "Bucketed: true" in plan
+
+
 def test_only_touched_shards_are_written(spark, base, tmp_path):
     docs, _ = base
     path = str(tmp_path / "docs")
