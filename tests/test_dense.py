@@ -156,3 +156,17 @@ def test_hashed_embeddings_are_unit_length_and_merge(spark, docs):
     assert (cover["n_embedded"], cover["avg_dims"]) == (14, 64.0)
     empty = spark.createDataFrame([(1, "...")], "id long, full_text string")
     assert embed.hashed_embeddings(empty.union(docs.select("id", "full_text")), 16).filter("embedding is null").count() == 1
+
+
+def test_a_scan_over_many_splits_returns_few_rows(spark, vectors, monkeypatch):
+    monkeypatch.setattr(dense, "RETURNED_ROWS", 1)
+    split = vectors.repartition(90)
+    most = dense.groups(split)
+    assert dense.nearest_rows(split, asked(spark), 1).count() <= most * len(ASKED)
+    assert ranks(dense.vector_topk(split, asked(spark), 10)) == model(10)
+
+
+def test_queries_beyond_one_broadcast_are_cut_into_blocks(spark, vectors, monkeypatch):
+    batch = asked(spark, broadcast_bytes=2 * (100 + 8 * DIMS))
+    monkeypatch.setattr(dense, "_nearest_on_grid", None)
+    assert ranks(dense.vector_topk(vectors, batch, 10)) == model(10)
